@@ -35,17 +35,26 @@ _TABLES = {s: np.random.default_rng(s).integers(1, 1 << 63, 256, dtype=np.int64)
 _BASE = {1: np.uint64(0x9E3779B97F4A7C15), 2: np.uint64(0xC2B2AE3D27D4EB4F)}
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.cumprod(out)
+    """base**0 .. base**(n-1) modulo 2**64; tables of moderate length are kept."""
+    table = _POWERS.get(int(base))
+    if table is None or len(table) < n:
+        table = np.full(max(n, 1 << 17), base, np.uint64)
+        table[0] = 1
+        table = np.cumprod(table)
+        if len(table) <= 1 << 20:
+            _POWERS[int(base)] = table
+    return table[:n]
 
 
 def _inverse(base: np.uint64) -> np.uint64:
     return np.uint64(pow(int(base), -1, 1 << 64))
 
 
-def string_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int, block: int = 1 << 20) -> np.ndarray:
+def string_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int, block: int = 1 << 16) -> np.ndarray:
     """64-bit hashes of values[starts[i]:ends[i]] (polynomials modulo 2**64, then mixed), by differences of prefix sums."""
     base = _BASE[seed]
     out = np.empty(len(starts), np.uint64)

@@ -15,14 +15,14 @@ from pyspark.sql import DataFrame
 
 #: Bits of a key kept in a blob, beside its bucket.
 LOW = 40
-_LOW_MASK = np.uint64((1 << LOW) - 1)
+LOW_MASK = np.uint64((1 << LOW) - 1)
 KEYS = "shard int, bucket int, blob binary"
 
 
 def bucketed(h: np.ndarray, buckets: int) -> np.ndarray:
     """Bucket (from the top bits of a hash) and its low bits, as one sortable key."""
     top = h >> np.uint64(40)
-    return ((top * np.uint64(buckets)) >> np.uint64(24)) << np.uint64(LOW) | (h & _LOW_MASK)
+    return ((top * np.uint64(buckets)) >> np.uint64(24)) << np.uint64(LOW) | (h & LOW_MASK)
 
 
 def groups(keys: np.ndarray, more: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -39,25 +39,34 @@ def groups(keys: np.ndarray, more: np.ndarray | None = None) -> tuple[np.ndarray
     return order, np.flatnonzero(new), number
 
 
-def _bytes(v: np.ndarray) -> bytes:
+def low_bytes(v: np.ndarray) -> bytes:
     return v.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : LOW // 8].tobytes()
 
 
-def _numbers(raw: bytes, n: int, at: int) -> np.ndarray:
+def low_numbers(raw: bytes, n: int, at: int) -> np.ndarray:
     out = np.zeros((n, 8), np.uint8)
     out[:, : LOW // 8] = np.frombuffer(raw, np.uint8, n * LOW // 8, at).reshape(n, -1)
     return out.view("<u8").ravel().astype(np.uint64)
 
 
+def bucket_edges(bucket: np.ndarray) -> np.ndarray:
+    """Where each bucket begins in a sorted array, and its end."""
+    return np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True]))) if len(bucket) else np.zeros(1, np.int64)
+
+
+def blob_rows(shard: int, bucket, blobs: list[bytes]) -> pa.Table:
+    return pa.table({"shard": pa.array([shard] * len(blobs), pa.int32()), "bucket": pa.array(bucket, pa.int32()), "blob": pa.array(blobs, pa.binary())})
+
+
 def key_rows(shard: int, keys: np.ndarray, flags: np.ndarray, more: np.ndarray | None = None) -> pa.Table:
     """keys: sorted distinct bucketed keys, with a flag each (and low bits of a second hash)."""
     bucket = (keys >> np.uint64(LOW)).astype(np.int64)
-    edge = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True]))) if len(keys) else np.zeros(1, np.int64)
+    edge = bucket_edges(bucket)
     blobs = []
     for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
-        blob = struct.pack("<I", b - a) + np.packbits(flags[a:b]).tobytes() + _bytes(keys[a:b])
-        blobs.append(blob if more is None else blob + _bytes(more[a:b]))
-    return pa.table({"shard": pa.array([shard] * len(blobs), pa.int32()), "bucket": pa.array(bucket[edge[:-1]], pa.int32()), "blob": pa.array(blobs, pa.binary())})
+        blob = struct.pack("<I", b - a) + np.packbits(flags[a:b]).tobytes() + low_bytes(keys[a:b])
+        blobs.append(blob if more is None else blob + low_bytes(more[a:b]))
+    return blob_rows(shard, bucket[edge[:-1]], blobs)
 
 
 def no_keys() -> pa.Table:
@@ -72,9 +81,9 @@ def answer(table: pa.Table, wide: bool, many: int) -> pa.Table:
     for r, n in zip(raw, sizes):
         at = 4 + (n + 7) // 8
         flag.append(np.unpackbits(np.frombuffer(r, np.uint8, at - 4, 4), count=n))
-        key.append(_numbers(r, n, at))
+        key.append(low_numbers(r, n, at))
         if wide:
-            more.append(_numbers(r, n, at + n * LOW // 8))
+            more.append(low_numbers(r, n, at + n * LOW // 8))
     flags = np.concatenate(flag)
     order, first, number = groups(np.concatenate(key), np.concatenate(more) if wide else None)
     count = np.diff(np.append(first, len(order)))
@@ -148,7 +157,7 @@ def smallest(h: np.ndarray, width: int) -> np.ndarray:
     return (x & np.uint64(0x7FFFFFFF)).astype(np.int64)
 
 
-def window_runs(n: int, hashes, ends: np.ndarray, window: int, gram: int, block: int = 1 << 21) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def window_runs(n: int, hashes, ends: np.ndarray, window: int, gram: int, block: int = 1 << 16) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows that share their smallest gram: first window, number of windows, the gram's hash and place.
 
     n: number of elements; hashes(a, b): hashes of the grams that start at a..b-1; ends[i]: where i's document ends.

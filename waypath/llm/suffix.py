@@ -1,9 +1,11 @@
 """Suffix-array dedup of byte strings that start in an earlier document.
 
 Documents are dealt to shards. A shard cuts its bytes into runs of 50-byte windows that share their smallest 24-byte
-gram; equal windows lie in runs of equal grams, wherever they are. Grams that two documents hold are found by an
-exchange of keys; only runs of such grams go on, with their bytes, to the shards of the gram's bucket (equal runs of
-one shard as one; runs of grams that very many shards hold as single windows, dealt by their whole content).
+gram; equal windows lie in runs of equal grams, wherever they are. Three exchanges follow, each between shards and
+buckets of grams: which grams two documents hold; for runs of such grams, which document is the first to have the run
+as a whole (its copies go, whatever else is found); and, only for first runs whose gram occurs with other surroundings
+too, the bytes of the run. Runs of grams that very many shards hold take part as single windows, dealt by their
+content. So a passage that is everywhere is one entry a shard, and most text never travels a second time.
 
 A bucket's bytes are held in suffix-array shards of bounded size: each is sorted by Larsson-Sadakane refinement (ranks
 double the compared length, only groups not yet apart are sorted again) and gets its common prefixes by Kasai's
@@ -27,14 +29,16 @@ from pyspark.sql import functions as F
 
 from waypath.llm.common import SHARD_BYTES, documents, shard_documents
 from waypath.llm.doubling import string_hashes
-from waypath.llm.exchange import KEYS, LOW, Shard, bucketed, covered, groups, key_rows, no_keys, read_answers, repeated, spread_out, window_runs
+from waypath.llm.exchange import (
+    KEYS, LOW, LOW_MASK, Shard, blob_rows, bucket_edges, bucketed, covered, groups, key_rows, low_bytes, low_numbers, no_keys, read_answers, repeated, spread_out, window_runs,
+)
 
 WINDOW = 50
 GRAM = 24
 #: A gram in more shards than this is dealt by single windows.
-MANY = 64
+MANY = 16
 #: Bytes of one suffix-array shard.
-SUFFIX_BYTES = 1_500_000
+SUFFIX_BYTES = 500_000
 _VALUES = np.random.default_rng(5).integers(1, 1 << 63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -151,31 +155,45 @@ def window_groups(text: np.ndarray, starts: np.ndarray, window: int) -> tuple[np
 
 
 def window_bytes(text: np.ndarray, starts: np.ndarray, window: int) -> np.ndarray:
-    return np.ascontiguousarray(text[starts[:, None] + np.arange(window)]).view(f"S{window}").ravel()
+    return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(text, window)[starts]).view(f"S{window}").ravel()
 
 
-def smallest_documents(data: np.ndarray, begin: np.ndarray, count: np.ndarray, doc: np.ndarray, window: int, limit: int = SUFFIX_BYTES) -> np.ndarray:
-    """Pieces of text: where each begins in data, its number of windows and its document. For every window, in the
-    order of the pieces, the smallest document that holds an equal one."""
+def smallest_documents(data: np.ndarray, begin: np.ndarray, count: np.ndarray, doc: np.ndarray, gram: np.ndarray, window: int, limit: int = SUFFIX_BYTES) -> np.ndarray:
+    """Pieces of text: where each begins in data, its number of windows, its document and its gram. For every window,
+    in the order of the pieces, the smallest document that holds an equal one.
+
+    Pieces of one gram go to one suffix array, unless they are longer than `limit`: then to several, which are merged.
+    """
     size = count + window - 1
-    part = np.cumsum(size) // limit
+    order = np.argsort(gram, kind="stable")
+    g, at = gram[order], np.cumsum(size[order]) - size[order]
+    head = np.concatenate(([True], g[1:] != g[:-1])) if len(g) else np.zeros(0, bool)
+    part = at[head][np.cumsum(head) - 1] // limit if len(g) else at  # the part in which the gram's first piece lies
+    first = np.cumsum(count) - count
+    out = np.empty(int(count.sum()), np.int64)
     edges = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True]))) if len(part) else np.zeros(1, np.int64)
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        p = order[a:b]
+        out[spread_out(first[p], count[p])] = _least_of_part(data, begin[p], count[p], doc[p], window, limit)
+    return out
+
+
+def _least_of_part(data: np.ndarray, begin: np.ndarray, count: np.ndarray, doc: np.ndarray, window: int, limit: int) -> np.ndarray:
+    size = count + window - 1
+    part = np.maximum(np.cumsum(size) - size, 0) // (2 * limit)
+    edges = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True])))
     shards = []
     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-        at = spread_out(begin[a:b], size[a:b])
-        text = data[at]
-        local = np.cumsum(size[a:b]) - size[a:b]
-        starts = spread_out(local, count[a:b])
+        text = data[spread_out(begin[a:b], size[a:b])]
+        starts = spread_out(np.cumsum(size[a:b]) - size[a:b], count[a:b])
         owner = np.repeat(doc[a:b], count[a:b])
         slot = np.empty(len(text), np.int64)
         slot[starts] = np.arange(len(starts))
         order, group = window_groups(text, starts, window)
-        edge = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+        new = np.concatenate(([True], group[1:] != group[:-1]))
+        edge = np.flatnonzero(new)
         least = np.minimum.reduceat(owner[slot[order]], edge)
-        number = np.cumsum(np.concatenate(([0], (group[1:] != group[:-1]).astype(np.int64))))
-        shards.append((text, order[edge], least, slot[order], number))
-    if not shards:
-        return np.zeros(0, np.int64)
+        shards.append((text, order[edge], least, slot[order], np.cumsum(new) - 1))
     if len(shards) == 1:
         _, _, least, slots, number = shards[0]
         out = np.empty(len(slots), np.int64)
@@ -205,7 +223,8 @@ def smallest_documents(data: np.ndarray, begin: np.ndarray, count: np.ndarray, d
 
 
 class Entries:
-    """Pieces of a shard's text that may repeat elsewhere, equal ones grouped."""
+    """Pieces of a shard's text that may repeat elsewhere, equal ones grouped: runs, or windows of runs that very many
+    shards hold. A group is dealt by its run's gram, a single window by its content."""
 
     def __init__(self, shard: Shard, told: pa.Table, window: int, buckets: int):
         runs = Runs(shard, window, buckets)
@@ -221,29 +240,45 @@ class Entries:
         self.doc = shard.ids[np.searchsorted(shard.offsets, self.start, "right") - 1] if len(start) else np.zeros(0, np.int64)
         content = string_hashes(_VALUES[shard.data], self.start, self.start + self.count + window - 1, 1) if len(start) else np.zeros(0, np.uint64)
         route[single] = content[single]
-        self.order = np.lexsort((self.doc, content))
-        c = content[self.order]
-        self.edge = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1]))) if len(c) else np.zeros(0, np.int64)
+        order = np.lexsort((self.doc, content))
+        c = content[order]
+        edge = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1]))) if len(c) else np.zeros(0, np.int64)
         self.group = np.empty(len(c), np.int64)
-        self.group[self.order] = np.repeat(np.arange(len(self.edge)), np.diff(np.append(self.edge, len(c))))
-        self.first = self.order[self.edge]  # of each group, an entry of its smallest document
-        self.bucket = (bucketed(route[self.first], buckets) >> np.uint64(LOW)).astype(np.int64)
-        self.family = (route[self.first] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        self.data = shard.data
-
-    def rows(self, shard: int, window: int) -> pa.Table:
-        order = np.argsort(self.bucket, kind="stable")
-        bucket = self.bucket[order]
-        edge = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True]))) if len(bucket) else np.zeros(1, np.int64)
+        self.group[order] = np.repeat(np.arange(len(edge)), np.diff(np.append(edge, len(c))))
+        self.first = order[edge]  # of each group, an entry of its smallest document
+        key = bucketed(route[self.first], buckets)
+        self.bucket = (key >> np.uint64(LOW)).astype(np.int64)
+        self.order = np.argsort(self.bucket, kind="stable")  # of groups, as they are sent
+        self.edges = bucket_edges(self.bucket[self.order])
+        self.gram, self.content = key & LOW_MASK, content[self.first] & LOW_MASK
+        self.data, self.window = shard.data, window
+
+    def contents(self, shard: int) -> pa.Table:
+        """Each group's gram, content and smallest document."""
         blobs = []
-        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
+        for a, b in zip(self.edges[:-1].tolist(), self.edges[1:].tolist()):
+            g = self.order[a:b]
+            blobs.append(struct.pack("<I", b - a) + low_bytes(self.gram[g]) + low_bytes(self.content[g]) + self.doc[self.first[g]].astype("<i8").tobytes())
+        return blob_rows(shard, self.bucket[self.order[self.edges[:-1]]] if blobs else [], blobs)
+
+    def read(self, told: pa.Table) -> None:
+        """later: an earlier document elsewhere has the group's content. open: other contents hold the gram."""
+        keys = self.bucket[self.order].astype(np.uint64) << np.uint64(LOW)
+        later, open_ = read_answers(told, keys)
+        self.later, self.open = np.empty(len(keys), bool), np.empty(len(keys), bool)
+        self.later[self.order], self.open[self.order] = later, open_
+
+    def pieces(self, shard: int) -> pa.Table:
+        """The texts of open groups."""
+        order = self.order[self.open[self.order]]
+        edges = bucket_edges(self.bucket[order])
+        blobs = []
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
             g = order[a:b]
             e = self.first[g]
-            text = self.data[spread_out(self.start[e], self.count[e] + window - 1)]
-            blobs.append(
-                struct.pack("<I", b - a) + g.astype("<u4").tobytes() + self.doc[e].astype("<i8").tobytes() + self.family[g].astype("<u4").tobytes() + self.count[e].astype(np.uint8).tobytes() + text.tobytes()
-            )
-        return pa.table({"shard": pa.array([shard] * len(blobs), pa.int32()), "bucket": pa.array(bucket[edge[:-1]], pa.int32()), "blob": pa.array(blobs, pa.binary())})
+            text = self.data[spread_out(self.start[e], self.count[e] + self.window - 1)]
+            blobs.append(struct.pack("<I", b - a) + g.astype("<u4").tobytes() + self.doc[e].astype("<i8").tobytes() + low_bytes(self.gram[g]) + self.count[e].astype(np.uint8).tobytes() + text.tobytes())
+        return blob_rows(shard, self.bucket[order[edges[:-1]]] if blobs else [], blobs)
 
     def hits(self, told: pa.Table) -> np.ndarray:
         """Starts of the windows that an earlier document has."""
@@ -251,12 +286,14 @@ class Entries:
         for raw in told["blob"].to_pylist():
             n = struct.unpack_from("<I", raw)[0]
             mask[np.frombuffer(raw, "<u4", n, 4)] = np.frombuffer(raw, "<u4", n, 4 + 4 * n)
+        mask[self.later] = 0xFFFFFFFF
         own = mask[self.group]
-        later = self.doc > self.doc[self.first[self.group]]
-        own[later] = 0xFFFFFFFF
-        window = spread_out(np.zeros(len(self.count), np.int64), self.count)
-        hit = (np.repeat(own, self.count) >> window.astype(np.uint32)) & 1
-        return (np.repeat(self.start, self.count) + window)[hit.astype(bool)]
+        own[self.doc > self.doc[self.first[self.group]]] = 0xFFFFFFFF
+        some = own > 0
+        count, start = self.count[some], self.start[some]
+        window = spread_out(np.zeros(len(count), np.int64), count)
+        hit = (np.repeat(own[some], count) >> window.astype(np.uint32)) & 1
+        return (np.repeat(start, count) + window)[hit.astype(bool)]
 
 
 class Runs:
@@ -270,44 +307,53 @@ class Runs:
         self.shared = np.minimum.reduceat(doc, edge) != np.maximum.reduceat(doc, edge) if len(edge) else np.zeros(0, bool)
 
 
-def compare(table: pa.Table, window: int, limit: int) -> pa.Table:
+def compare_contents(table: pa.Table) -> pa.Table:
+    """Contents of all shards in one bucket. Of each: whether an earlier document has it, and, where none has, whether
+    other contents hold its gram, so that its text has to be compared."""
+    raw = table["blob"].to_pylist()
+    sizes = [struct.unpack_from("<I", r)[0] for r in raw]
+    width = LOW // 8
+    gram = np.concatenate([low_numbers(r, n, 4) for r, n in zip(raw, sizes)])
+    content = np.concatenate([low_numbers(r, n, 4 + width * n) for r, n in zip(raw, sizes)])
+    doc = np.concatenate([np.frombuffer(r, "<i8", n, 4 + 2 * width * n) for r, n in zip(raw, sizes)])
+    order = np.lexsort((doc, content, gram))
+    g, c = gram[order], content[order]
+    new_gram = np.concatenate(([True], g[1:] != g[:-1]))
+    new = new_gram.copy()
+    new[1:] |= c[1:] != c[:-1]
+    edge = np.flatnonzero(new)
+    least = np.repeat(doc[order][edge], np.diff(np.append(edge, len(order))))
+    several = np.add.reduceat(new.astype(np.int64), np.flatnonzero(new_gram)) > 1
+    later, open_ = np.empty(len(order), bool), np.empty(len(order), bool)
+    later[order] = doc[order] > least
+    open_[order] = several[np.cumsum(new_gram) - 1]
+    open_ &= ~later
+    blobs, at = [], 0
+    for n in sizes:
+        blobs.append(np.packbits(later[at : at + n]).tobytes() + np.packbits(open_[at : at + n]).tobytes())
+        at += n
+    return pa.table({"shard": table["shard"], "bucket": table["bucket"], "blob": pa.array(blobs, pa.binary())})
+
+
+def compare_pieces(table: pa.Table, window: int, limit: int) -> pa.Table:
     """Pieces of all shards in one bucket; answers with a mask of windows to remove for each piece."""
     raw = table["blob"].to_pylist()
-    parts: tuple[list, list, list, list, list] = ([], [], [], [], [])
-    for r in raw:
-        n = struct.unpack_from("<I", r)[0]
-        parts[0].append(np.frombuffer(r, "<u4", n, 4))
-        parts[1].append(np.frombuffer(r, "<i8", n, 4 + 4 * n))
-        parts[2].append(np.frombuffer(r, "<u4", n, 4 + 12 * n))
-        parts[3].append(np.frombuffer(r, np.uint8, n, 4 + 16 * n).astype(np.int64))
-        parts[4].append(np.frombuffer(r, np.uint8, -1, 4 + 17 * n))
-    _, doc, family, count, data = (np.concatenate(x) for x in parts)
+    sizes = [struct.unpack_from("<I", r)[0] for r in raw]
+    who = [np.frombuffer(r, "<u4", n, 4) for r, n in zip(raw, sizes)]
+    doc = np.concatenate([np.frombuffer(r, "<i8", n, 4 + 4 * n) for r, n in zip(raw, sizes)])
+    gram = np.concatenate([low_numbers(r, n, 4 + 12 * n) for r, n in zip(raw, sizes)])
+    at = 12 + LOW // 8
+    count = np.concatenate([np.frombuffer(r, np.uint8, n, 4 + at * n) for r, n in zip(raw, sizes)]).astype(np.int64)
+    data = np.concatenate([np.frombuffer(r, np.uint8, -1, 4 + (at + 1) * n) for r, n in zip(raw, sizes)])
     size = count + window - 1
-    begin = np.cumsum(size) - size
-    content = string_hashes(_VALUES[data], begin, begin + size, 2)
-    order, edge, number = groups(content, family.astype(np.uint64))
-    least = np.minimum.reduceat(doc[order], edge)
-    rep = order[edge]
-    # a gram with one distinct piece has nothing to be sorted against
-    f_order = np.argsort(family[rep], kind="stable")
-    f = family[rep][f_order]
-    alone = np.ones(len(f), bool)
-    alone[1:] &= f[1:] != f[:-1]
-    alone[:-1] &= f[:-1] != f[1:]
-    mixed = np.sort(f_order[~alone])
-    window_least = np.repeat(least, count[rep])
-    if len(mixed):
-        found = smallest_documents(data, begin[rep[mixed]], count[rep[mixed]], least[mixed], window, limit)
-        first = np.cumsum(count[rep]) - count[rep]
-        window_least[spread_out(first[mixed], count[rep[mixed]])] = found
-    first = (np.cumsum(count[rep]) - count[rep])[number]
+    least = smallest_documents(data, np.cumsum(size) - size, count, doc, gram, window, limit)
     place = spread_out(np.zeros(len(count), np.int64), count)
-    gone = window_least[np.repeat(first, count) + place] < np.repeat(doc, count)
+    gone = least < np.repeat(doc, count)
     mask = np.add.reduceat(gone.astype(np.int64) << place, np.cumsum(count) - count).astype(np.uint32)
     blobs, at = [], 0
-    for who in parts[0]:
-        blobs.append(struct.pack("<I", len(who)) + who.tobytes() + mask[at : at + len(who)].astype("<u4").tobytes())
-        at += len(who)
+    for w in who:
+        blobs.append(struct.pack("<I", len(w)) + w.tobytes() + mask[at : at + len(w)].astype("<u4").tobytes())
+        at += len(w)
     return pa.table({"shard": table["shard"], "bucket": table["bucket"], "blob": pa.array(blobs, pa.binary())})
 
 
@@ -328,16 +374,25 @@ def earlier_substrings(
         runs = Runs(Shard(table), window, buckets)
         return key_rows(table["shard"][0].as_py(), runs.keys, runs.shared)
 
+    def send_contents(table: pa.Table, told: pa.Table) -> pa.Table:
+        if not len(table):
+            return no_keys()
+        return Entries(Shard(table), told, window, buckets).contents(table["shard"][0].as_py())
+
     def send_pieces(table: pa.Table, told: pa.Table) -> pa.Table:
         if not len(table):
             return no_keys()
-        return Entries(Shard(table), told, window, buckets).rows(table["shard"][0].as_py(), window)
+        found = Entries(Shard(table), level(told, 1), window, buckets)
+        found.read(level(told, 2))
+        return found.pieces(table["shard"][0].as_py())
 
     def finish(table: pa.Table, told: pa.Table) -> pa.Table:
         if not len(table):
             return out.empty_table()
         shard = Shard(table)
-        gone = covered(Entries(shard, level(told, 1), window, buckets).hits(level(told, 2)), window, len(shard.data))
+        found = Entries(shard, level(told, 1), window, buckets)
+        found.read(level(told, 2))
+        gone = covered(found.hits(level(told, 3)), window, len(shard.data))
         n_removed, n_spans, kept = [], [], []
         for a, b in zip(shard.offsets[:-1].tolist(), shard.offsets[1:].tolist()):
             g = gone[a:b]
@@ -346,10 +401,17 @@ def earlier_substrings(
             kept.append((shard.data[a:b][~g] if n_removed[-1] else shard.data[a:b]).tobytes())
         return pa.table([pa.array(shard.ids), pa.array(np.diff(shard.offsets)), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.binary())], schema=out)
 
+    def in_buckets(rows: DataFrame, compare) -> DataFrame:
+        return rows.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(compare, KEYS)
+
+    def numbered(rows: DataFrame, n: int) -> DataFrame:
+        return rows.withColumn("level", F.lit(n))
+
     known = repeated(by_shard.applyInArrow(send_keys, KEYS), buckets, many=many)
-    pieces = by_shard.cogroup(known.groupBy("shard")).applyInArrow(send_pieces, KEYS)
-    compared = pieces.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(lambda t: compare(t, window, suffix_bytes), KEYS)
-    told = known.withColumn("level", F.lit(1)).unionByName(compared.withColumn("level", F.lit(2)))
+    settled = in_buckets(by_shard.cogroup(known.groupBy("shard")).applyInArrow(send_contents, KEYS), compare_contents)
+    told = numbered(known, 1).unionByName(numbered(settled, 2))
+    pieces = by_shard.cogroup(told.groupBy("shard")).applyInArrow(send_pieces, KEYS)
+    told = told.unionByName(numbered(in_buckets(pieces, lambda t: compare_pieces(t, window, suffix_bytes)), 3))
     return by_shard.cogroup(told.groupBy("shard")).applyInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
