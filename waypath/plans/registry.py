@@ -1,5 +1,7 @@
 """Queries of the library: name to (spark, sf_dir) -> DataFrame, and the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from waypath.plans.queries import ORACLE_SQL, QUERIES
+
 FLAGSHIP = "variant_reduction"
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
