@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 
 from waypath.llm.common import checkpoint, documents, map_texts
 from waypath.llm.components import components
+from waypath.llm.exchange import mix
 
 SHINGLE = 3
 MAX_BITS = 2
@@ -66,10 +67,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def variants(fps: DataFrame) -> DataFrame:
-    """(key, fp): 64 rows a fingerprint. key: number of the deleted bit, then its segment without that bit."""
+    """(key, fp, ...): 64 rows a fingerprint, with its other columns. key: number of the deleted bit, then its segment without that bit."""
     low = lambda k: F.shiftrightunsigned("fp", 32 * (k // 32)).bitwiseAND(F.lit(0xFFFFFFFF & ~(1 << (k % 32))))
     keys = F.array(*[F.lit(k << 32).bitwiseOR(low(k)) for k in range(64)])
-    return fps.select(F.explode(keys).alias("key"), "fp")
+    return fps.select(F.explode(keys).alias("key"), "fp", *[c for c in fps.columns if c != "fp"])
 
 
 def _verified(key: np.ndarray, fp: np.ndarray, i: np.ndarray, j: np.ndarray, max_bits: int) -> np.ndarray:
@@ -101,60 +102,62 @@ def _forest(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[label[moved]]
 
 
-def _join(batches: Iterator[pa.RecordBatch], max_bits: int, crowd: int) -> Iterator[pa.RecordBatch]:
-    """Batches sorted by key. Yields (a, b) links, and (a, null) for fingerprints of crowded keys."""
-
-    def links(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-        edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
-        size = np.repeat(np.diff(edge), np.diff(edge))
-        crowded = size > crowd
-        place = np.arange(len(key)) - np.repeat(edge[:-1], np.diff(edge))
-        left: list[np.ndarray] = []
-        right: list[np.ndarray] = []
-        rest = np.flatnonzero((size > 1) & ~crowded)
-        for off in range(1, crowd):
-            rest = rest[place[rest] + off < size[rest]]
-            if not len(rest):
-                break
-            ok = _verified(key, fp, rest, rest + off, max_bits)
-            left.append(rest[ok])
-            right.append(rest[ok] + off)
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
-        if len(a):
-            a, b = _forest(a, b)
-        many = fp[crowded].view(np.int64)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.concatenate([fp[a].view(np.int64), many])),
-                pa.array(np.concatenate([fp[b].view(np.int64), np.zeros(len(many), np.int64)]), mask=np.arange(len(a) + len(many)) >= len(a)),
-            ],
-            names=["a", "b"],
-        )
-
-    held_key, held_fp, last = np.zeros(0, np.uint64), np.zeros(0, np.uint64), None
+def _batch(a: np.ndarray, b: np.ndarray, crowded: np.ndarray) -> pa.RecordBatch:
+    """Links (a, b), then (x, null) for each x of crowded."""
+    n = len(a) + len(crowded)
+    left = pa.array(np.concatenate([a, crowded]).view(np.int64))
+    right = pa.array(np.concatenate([b, crowded]).view(np.int64), mask=np.arange(n) >= len(a))
+    return pa.RecordBatch.from_arrays([left, right], names=["a", "b"])
+
+
+def _links(key: np.ndarray, fp: np.ndarray, node: np.ndarray, max_bits: int, crowd: int, forest: bool) -> pa.RecordBatch:
+    edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
+    size = np.repeat(np.diff(edge), np.diff(edge))
+    crowded = size > crowd
+    place = np.arange(len(key)) - np.repeat(edge[:-1], np.diff(edge))
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    rest = np.flatnonzero((size > 1) & ~crowded)
+    for off in range(1, crowd):
+        rest = rest[place[rest] + off < size[rest]]
+        if not len(rest):
+            break
+        ok = _verified(key, fp, rest, rest + off, max_bits)
+        left.append(rest[ok])
+        right.append(rest[ok] + off)
+    a, b = np.concatenate(left), np.concatenate(right)
+    if forest and len(a):
+        a, b = _forest(a, b)
+    return _batch(node[a], node[b], node[crowded])
+
+
+def _join(batches: Iterator[pa.RecordBatch], max_bits: int, crowd: int, forest: bool = True) -> Iterator[pa.RecordBatch]:
+    """Batches (key, fp[, node]) sorted by key. Yields (a, b) links of nodes, and (a, null) for those of crowded keys.
+
+    forest: as few links as have the same components; else all. No more than a batch and a crowd is held.
+    """
+    held = [np.zeros(0, np.uint64)] * 3
+    passed = None  # key of a crowd that is being passed on
     for batch in batches:
-        key = np.concatenate([held_key, batch.column(0).to_numpy().view(np.uint64)])
-        fp = np.concatenate([held_fp, batch.column(1).to_numpy().view(np.uint64)])
-        if not len(key):
-            continue
-        cut = int(np.searchsorted(key, key[-1]))  # the last key may go on in the next batch
-        if last == key[0] and cut == 0 or len(key) - cut > crowd:  # a crowd is passed on as it comes
-            many = fp[cut:].view(np.int64)
-            if cut:
-                yield links(key[:cut], fp[:cut])
-            yield pa.RecordBatch.from_arrays([pa.array(many), pa.nulls(len(many), pa.int64())], names=["a", "b"])
-            last, held_key, held_fp = key[-1], key[:0], fp[:0]
+        columns = [batch.column(min(i, batch.num_columns - 1)).to_numpy().view(np.uint64) for i in range(3)]
+        held = [np.concatenate([h, c]) for h, c in zip(held, columns)]
+        if passed is not None:
+            n = int(np.searchsorted(held[0], passed, "right"))
+            if n:
+                yield _batch(held[2][:0], held[2][:0], held[2][:n])
+                held = [h[n:] for h in held]
+        if not len(held[0]):
             continue
-        if last is not None and len(key) and key[0] == last:
-            n = int(np.searchsorted(key, last, "right"))
-            many = fp[:n].view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(many), pa.nulls(n, pa.int64())], names=["a", "b"])
-            key, fp, cut = key[n:], fp[n:], cut - n
-        if cut > 0:
-            yield links(key[:cut], fp[:cut])
-        held_key, held_fp = key[max(cut, 0) :], fp[max(cut, 0) :]
-    if len(held_key):
-        yield links(held_key, held_fp)
+        cut = int(np.searchsorted(held[0], held[0][-1]))  # the last key may go on in the next batch
+        passed = None
+        if cut:
+            yield _links(*[h[:cut] for h in held], max_bits, crowd, forest)
+            held = [h[cut:] for h in held]
+        if len(held[0]) > crowd:
+            passed = held[0][-1]
+            yield _batch(held[2][:0], held[2][:0], held[2])
+            held = [h[:0] for h in held]
+    if len(held[0]):
+        yield _links(*held, max_bits, crowd, forest)
 
 
 def links_of(fps: DataFrame, max_bits: int = MAX_BITS, crowd: int = CROWD) -> DataFrame:
@@ -189,8 +192,125 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """The documents, with their columns, without those that are a near copy of one with a smaller id."""
+# --- near copies by similarity --------------------------------------------------------------------------------------
+
+SIMILARITY = 0.8
+SIMILAR_SHINGLE = 5
+#: Fingerprints of single words, each with its own hash; bits that two texts may differ by to be compared.
+ROUNDS = 3
+CANDIDATE_BITS = 3
+#: Texts of one variant that are compared pair by pair; larger crowds are compared along equal minima of shingle hashes.
+PAIR_CROWD = 48
+MINIMA = 12
+_ROUND_KEYS = np.random.default_rng(9).integers(1, 1 << 62, 64, dtype=np.int64).astype(np.uint64)
+
+
+def _word_hashes(text: str | None) -> tuple[int, np.ndarray]:
+    """Hash of the normalised text, and of each of its words."""
+    words = (text or "").encode("utf-8", "replace").lower().split()
+    h = xxhash.xxh64_intdigest
+    whole = h(b" ".join(words), _SEED)
+    return whole - ((whole >> 63) << 64), np.array([h(w, _SEED) for w in words], dtype=np.uint64)
+
+
+def _shingle_hashes(words: np.ndarray, shingle: int) -> np.ndarray:
+    if not len(words):
+        return words
+    n = max(1, len(words) - shingle + 1)
+    x = np.zeros(n, np.uint64)
+    for k in range(min(shingle, len(words))):
+        x = mix(x * np.uint64(0x9E3779B97F4A7C15) + words[k : k + n])
+    return np.unique(x)
+
+
+def _profiles(docs: DataFrame) -> DataFrame:
+    """(doc_id, cls, fps): a hash of the normalised text, and fingerprints of its words."""
+
+    def make():
+        def one(text: str | None) -> tuple[int, list[int]]:
+            whole, words = _word_hashes(text)
+            found = [majority(words if r == 0 else mix(words ^ _ROUND_KEYS[r])) if len(words) else 0 for r in range(ROUNDS)]
+            return whole, [v - ((v >> 63) << 64) for v in found]
+
+        return lambda texts: [list(x) for x in zip(*map(one, texts))] if texts else [[], []]
+
+    return map_texts(docs, "text", [T.StructField("cls", T.LongType()), T.StructField("fps", T.ArrayType(T.LongType()))], make, ["doc_id"])
+
+
+def _shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """(cls, shingles, minima): sorted 32-bit shingle hashes, and the smallest of several rehashings of them."""
+
+    def make():
+        def one(text: str | None) -> tuple:
+            whole, words = _word_hashes(text)
+            h = _shingle_hashes(words, shingle)
+            low = [int(mix(h ^ _ROUND_KEYS[32 + k]).min() >> np.uint64(1)) if len(h) else 0 for k in range(MINIMA)]
+            return whole, np.unique(h.astype(np.uint32)).tobytes(), low
+
+        return lambda texts: [list(x) for x in zip(*map(one, texts))] if texts else [[], [], []]
+
+    fields = [T.StructField("cls", T.LongType()), T.StructField("shingles", T.BinaryType()), T.StructField("minima", T.ArrayType(T.LongType()))]
+    return map_texts(texts, "text", fields, make, [])
+
+
+def _similar(pairs: DataFrame, similarity: float) -> DataFrame:
+    """pairs (a, b, x, y) whose shingle sets x, y have the Jaccard similarity or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                u, v = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+                small, large = min(len(u), len(v)), max(len(u), len(v))
+                if small < similarity * large:
+                    keep.append(False)
+                    continue
+                both = len(u) + len(v) - len(np.unique(np.concatenate([u, v])))
+                keep.append(both >= similarity * (len(u) + len(v) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, kept): kept is the smallest doc_id of the document's group of near copies.
+
+    Equal texts (up to case and white space) are one class. Classes whose word fingerprints are close in any of the
+    rounds, by deletion variants, are compared by their sets of `shingle`-word shingles; those of the similarity or
+    more link, and links merge into groups. Nothing else decides: a close fingerprint alone removes no document.
+    """
+    d = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    marked = checkpoint(_profiles(d))
+    classes = marked.groupBy("cls").agg(F.min("doc_id").alias("first"), F.min("fps").alias("fps"))
+    rounds = classes.select(F.explode("fps").alias("fp"), "cls").distinct()
+    same = rounds.groupBy("fp").agg(F.count("*").alias("n"), F.min("cls").alias("a"))
+    # fingerprints of different rounds are as far apart as any two, so one index serves all
+    found = checkpoint(variants(same.select("fp")).repartition("key").sortWithinPartitions("key").mapInArrow(lambda b: _join(b, CANDIDATE_BITS, PAIR_CROWD, False), "a long, b long").distinct())
+    crowded_fps = found.where("b IS NULL").select(F.col("a").alias("fp")).unionByName(same.where("n > 1").select("fp")).distinct()
+    crowded = rounds.join(crowded_fps, "fp", "left_semi").select("cls").distinct()
+    close = found.where("b IS NOT NULL")
+    near = close.join(rounds.select(F.col("fp").alias("a"), F.col("cls").alias("x")), "a").join(rounds.select(F.col("fp").alias("b"), F.col("cls").alias("y")), "b")
+    near = near.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    needed = near.select(F.col("a").alias("cls")).unionByName(near.select(F.col("b").alias("cls"))).unionByName(crowded).distinct()
+    firsts = classes.join(needed, "cls", "left_semi").select(F.col("first").alias("doc_id")).distinct()
+    sets = checkpoint(_shingle_sets(d.join(firsts, "doc_id", "left_semi"), shingle).join(needed, "cls", "left_semi"))
+    minima = sets.join(crowded, "cls", "left_semi").select("cls", F.posexplode("minima").alias("k", "m"))
+    heads = minima.groupBy("k", "m").agg(F.min("cls").alias("a"))
+    stars = minima.join(heads, ["k", "m"]).where("a <> cls").select("a", F.col("cls").alias("b")).distinct()
+    pairs = near.unionByName(stars).distinct()
+    pairs = pairs.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("y")), "b")
+    linked = components(_similar(pairs, similarity))
+    roots = classes.select("cls", "first").join(linked.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "first", F.coalesce("root", "cls").alias("root"))
+    of_root = roots.groupBy("root").agg(F.min("first").alias("kept"))
+    of_class = roots.join(of_root, "root").select("cls", "kept")
+    return marked.join(of_class, "cls").select("doc_id", "kept")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """The documents, with their columns, without those that have a near copy of a smaller id in their group.
+
+    Of a null or repeated id, rows stay or go together.
+    """
     own = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit((1 << 63) - 1))
-    gone = near_classes(docs, id_col, text_col, shingle, max_bits).where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
+    gone = similar_groups(docs, id_col, text_col, shingle, similarity).where("kept <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, own == F.col("__gone"), "left_anti")
