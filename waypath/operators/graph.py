@@ -42,6 +42,7 @@ def bounded_paths(seeds: DataFrame, edges: DataFrame, success: DataFrame, max_de
     """
     e = edges.join(success.select("family", F.col("node").alias("dst"), F.lit(True).alias("goal")), ["family", "dst"], "left")
     e = e.where(~F.col("outcome").isin("error", "cancel")).withColumn("goal", F.coalesce("goal", F.lit(False)))
+    e = _settled(e)  # read at every level
     empty = F.array().cast("array<string>")
     frontier = seeds.select("family", F.array("node").alias("nodes"), empty.alias("edges"), empty.alias("guards"), F.lit("live").alias("state"))
     ended: list[DataFrame] = []
