@@ -6,7 +6,7 @@ import tempfile
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -76,3 +76,14 @@ def shard_documents(docs: DataFrame, id_col: str, text_col: str, shard_bytes: in
     # more shards than partitions, so that hashing shards to partitions stays even
     dealt = docs.select(F.pmod(F.xxhash64(doc_id), F.lit(4 * n)).cast("int").alias("shard"), doc_id.alias("doc_id"), text.alias("text"))
     return dealt.repartition(n, "shard"), n
+
+
+#: Rows of one long that may be sent to all executors; more are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
+
+
+def filter_by_ids(df: DataFrame, key: Column, ids: DataFrame, how: str) -> DataFrame:
+    """df left_semi or left_anti joined to a table of distinct longs, which is broadcast if its counted size allows."""
+    kept = checkpoint(ids.toDF("__id"))
+    small = kept.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return df.join(F.broadcast(kept) if small else kept, key == F.col("__id"), how)
