@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Callable, Iterator, Sequence
 
@@ -13,6 +14,24 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 #: UTF-8 bytes of text that one shard of documents holds on average.
 SHARD_BYTES = 12_000_000
+#: Rows of one Arrow batch between the JVM and Python.
+BATCH_ROWS = 2_000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of whole texts are held twice, by the JVM and by Python; fewer rows bound both."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def give_back() -> None:
+    """Returns what a task no longer uses to the system, so that an idle worker does not hold its peak."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +67,9 @@ def map_texts(
             held = [b.column(i).cast(arrow.field(i).type) for i in range(len(names))]
             made = [pa.array(v, type=arrow.field(len(names) + i).type) for i, v in enumerate(out)]
             yield pa.RecordBatch.from_arrays(held + made, schema=arrow)
+        give_back()
 
+    bounded_batches(df.sparkSession)
     return df.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text_col}`").cast("string").alias("__text")).mapInArrow(run, schema)
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from waypath.llm.common import documents
+from waypath.llm.common import bounded_batches, documents, give_back
 
 WINDOW = 1024
 #: Texts of these characters get the same ids from both libraries (tested); others go to the slower one.
@@ -41,17 +41,21 @@ def encoder(vocabulary: str | None = None, ranks: str | None = None) -> Callable
     key = (vocabulary or public_tokenizers.path("byte_bpe_50k.json"), ranks or public_tokenizers.path("byte_bpe_50k.tiktoken"))
     if key not in _ENCODERS:
         import tiktoken
-        from tokenizers import Tokenizer
 
-        slow = Tokenizer.from_file(key[0])
-        slow.encode_special_tokens = True
         with open(key[1], "rb") as f:
             merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         fast = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={})
 
+        slow = []
+
         def encode(text: str) -> list[int]:
             if _COMMON.search(text) or _SPECIAL in text:
-                return slow.encode(text, add_special_tokens=False).ids
+                if not slow:
+                    from tokenizers import Tokenizer
+
+                    slow.append(Tokenizer.from_file(key[0]))
+                    slow[0].encode_special_tokens = True
+                return slow[0].encode(text, add_special_tokens=False).ids
             return fast.encode_ordinary(text)
 
         _ENCODERS[key] = encode
@@ -161,7 +165,9 @@ def pack(
         rows += levels.finish()
         if rows:
             yield batch(rows)
+        give_back()
 
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string")).mapInArrow(run, schema)
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from waypath.llm.common import checkpoint, documents, filter_by_ids, map_texts
+from waypath.llm.common import checkpoint, documents, filter_by_ids, give_back, map_texts
 from waypath.llm.components import components
 from waypath.llm.exchange import mix
 
@@ -130,6 +130,19 @@ def _links(key: np.ndarray, fp: np.ndarray, node: np.ndarray, max_bits: int, cro
     return _batch(node[a], node[b], node[crowded])
 
 
+def _grown(batches: Iterator[pa.RecordBatch], least: int = 1 << 15) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of `least` rows or more."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) >= least:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+    give_back()
+
+
 def _join(batches: Iterator[pa.RecordBatch], max_bits: int, crowd: int, forest: bool = True) -> Iterator[pa.RecordBatch]:
     """Batches (key, fp[, node]) sorted by key. Yields (a, b) links of nodes, and (a, null) for those of crowded keys.
 
@@ -137,7 +150,7 @@ def _join(batches: Iterator[pa.RecordBatch], max_bits: int, crowd: int, forest:
     """
     held = [np.zeros(0, np.uint64)] * 3
     passed = None  # key of a crowd that is being passed on
-    for batch in batches:
+    for batch in _grown(batches):
         columns = [batch.column(min(i, batch.num_columns - 1)).to_numpy().view(np.uint64) for i in range(3)]
         held = [np.concatenate([h, c]) for h, c in zip(held, columns)]
         if passed is not None:
@@ -201,6 +214,8 @@ ROUNDS = 3
 CANDIDATE_BITS = 3
 #: Texts of one variant that are compared pair by pair; larger crowds are compared along equal minima of shingle hashes.
 PAIR_CROWD = 48
+#: Classes of one fingerprint that are compared one by one.
+FEW_CLASSES = 8
 MINIMA = 12
 #: Minima, of 16 bits each, that rule pairs out before their sets are compared; and how many have to be equal. Of a
 #: similarity of 0.8, 51 of 64 are expected to be, with a standard deviation of 3.2.
@@ -299,11 +314,18 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     same = rounds.groupBy("fp").agg(F.count("*").alias("n"), F.min("cls").alias("a"))
     # fingerprints of different rounds are as far apart as any two, so one index serves all
     found = checkpoint(variants(same.select("fp")).repartition("key").sortWithinPartitions("key").mapInArrow(lambda b: _join(b, CANDIDATE_BITS, PAIR_CROWD, False), "a long, b long").distinct())
-    crowded_fps = found.where("b IS NULL").select(F.col("a").alias("fp")).unionByName(same.where("n > 1").select("fp")).distinct()
+    # a fingerprint of few classes takes part with all of them, one of many by the first; its classes go with the crowds
+    ends = found.where("b IS NOT NULL").join(same.select(F.col("fp").alias("a"), F.col("n").alias("na"), F.col("a").alias("x")), "a")
+    close = checkpoint(ends.join(same.select(F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("a").alias("y")), "b"))
+    few = rounds.join(same.where(F.col("n") <= FEW_CLASSES).select("fp"), "fp", "left_semi")
+    own = few.select("fp", F.col("cls").alias("x")).join(few.select("fp", F.col("cls").alias("y")), "fp").where("x < y").select("x", "y")
+    across = close.where((F.col("na") <= FEW_CLASSES) & (F.col("nb") <= FEW_CLASSES)).select("a", "b")
+    across = across.join(few.select(F.col("fp").alias("a"), F.col("cls").alias("x")), "a").join(few.select(F.col("fp").alias("b"), F.col("cls").alias("y")), "b").select("x", "y")
+    near = close.select("x", "y").unionByName(own).unionByName(across).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    shared = close.where((F.col("na") > FEW_CLASSES) | (F.col("nb") > FEW_CLASSES))
+    crowded_fps = found.where("b IS NULL").select(F.col("a").alias("fp")).unionByName(same.where(F.col("n") > FEW_CLASSES).select("fp"))
+    crowded_fps = crowded_fps.unionByName(shared.select(F.col("a").alias("fp"))).unionByName(shared.select(F.col("b").alias("fp"))).distinct()
     crowded = rounds.join(crowded_fps, "fp", "left_semi").select("cls").distinct()
-    close = found.where("b IS NOT NULL")
-    near = close.join(rounds.select(F.col("fp").alias("a"), F.col("cls").alias("x")), "a").join(rounds.select(F.col("fp").alias("b"), F.col("cls").alias("y")), "b")
-    near = near.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     needed = near.select(F.col("a").alias("cls")).unionByName(near.select(F.col("b").alias("cls"))).unionByName(crowded).distinct()
     firsts = classes.join(needed, "cls", "left_semi").select("first").distinct()
     sets = checkpoint(_shingle_sets(filter_by_ids(d, F.col("doc_id"), firsts, "left_semi"), shingle))
