@@ -19,7 +19,7 @@ def kind_of(text: Column, table: tuple, other: str) -> Column:
 
 def graph_items(spark: SparkSession, path: str, names: tuple[str, ...]) -> DataFrame:
     """The elements of the first of `names` that a JSON document has, as maps of strings."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     found = F.coalesce(*[F.get_json_object("value", f"$.{n}") for n in names])
     return text.select(F.explode(F.from_json(found, "array<map<string,string>>")).alias("m"))
 

@@ -19,7 +19,7 @@ def language(path: Column) -> Column:
 
 def snapshot(spark: SparkSession, roots: Sequence[str], include: str = "*", exclude: Sequence[str] = ()) -> DataFrame:
     """(path, language, content, digest) of the files below the roots; exclude: regular expressions on paths."""
-    d = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", include).text(list(roots))
+    d = spark.read.text(list(roots), wholetext=True, recursiveFileLookup=True, pathGlobFilter=include)
     d = d.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
     for pattern in exclude:
         d = d.where(~F.rlike("path", F.lit(pattern)))
