@@ -36,7 +36,7 @@ from waypath.llm.exchange import (
 WINDOW = 50
 GRAM = 24
 #: A gram in more shards than this is dealt by single windows.
-MANY = 16
+MANY = 64
 #: Bytes of one suffix-array shard.
 SUFFIX_BYTES = 500_000
 _VALUES = np.random.default_rng(5).integers(1, 1 << 63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
