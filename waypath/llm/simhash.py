@@ -215,7 +215,7 @@ CANDIDATE_BITS = 3
 #: Texts of one variant that are compared pair by pair; larger crowds are compared along equal minima of shingle hashes.
 PAIR_CROWD = 48
 #: Classes of one fingerprint that are compared one by one.
-FEW_CLASSES = 8
+FEW_CLASSES = 2
 MINIMA = 12
 #: Minima, of 16 bits each, that rule pairs out before their sets are compared; and how many have to be equal. Of a
 #: similarity of 0.8, 51 of 64 are expected to be, with a standard deviation of 3.2.
