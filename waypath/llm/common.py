@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 from collections.abc import Callable, Iterator, Sequence
 
@@ -78,7 +79,11 @@ def checkpoint(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="waypath-ckpt-"))
-    return df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)
+    # shuffle files of earlier rounds go when the driver collects garbage, which it hardly does by itself in a short loop
+    gc.collect()
+    sc._jvm.System.gc()
+    return done
 
 
 def text_bytes(df: DataFrame, text_col: str) -> int:
