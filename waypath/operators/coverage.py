@@ -55,3 +55,16 @@ def binding_status(requires: Column, bound: Column, verified: Column) -> Column:
 
 def run_status(recorded: Column, expires: Column, now: Column, current: Column) -> Column:
     return F.when(recorded, "recorded").when(~current, "stale").when(expires <= now, "expired").otherwise("pending")
+
+
+def digest_tree(rows: DataFrame, keys: Sequence[str], levels: int = 4, bits: int = 8) -> DataFrame:
+    """(keys, digest, n) of rows (keys, pos, h) in the order of pos, as a tree of digests.
+
+    Each level lists at most 2**bits positions of one key, so that a key with a third of all rows is never gathered in one
+    task; the last list is short for positions below 2**(bits * (levels + 1)). Rows of equal pos are ordered by h.
+    """
+    listed = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "h"))), lambda r: F.concat_ws(":", r["pos"].cast("string"), r["h"])), ",")
+    x = rows.select(*keys, "pos", "h", F.lit(1).cast("long").alias("n"))
+    for _ in range(levels):
+        x = x.groupBy(*keys, F.shiftright("pos", bits).alias("up")).agg(F.sha2(listed, 256).alias("h"), F.sum("n").alias("n")).withColumnRenamed("up", "pos")
+    return x.groupBy(*keys).agg(F.concat(F.lit("sha256:"), F.sha2(listed, 256)).alias("digest"), F.sum("n").alias("n"))

@@ -81,11 +81,18 @@ def snapshot_digest(spark, d):
     return table(spark, d, "documents").select("doc_id", ids.digest(F.coalesce("text", F.lit(""))).alias("digest"))
 
 
-@query("SELECT source, 'sha256:' || sha256(string_agg(doc_id || ':' || sha256(coalesce(text, '')), ',' ORDER BY doc_id)) AS digest, count(*) AS files FROM documents GROUP BY source")
+TREE = """WITH l0 AS (SELECT source, doc_id AS pos, sha256(coalesce(text, '')) AS h, 1 AS n FROM documents),
+l1 AS (SELECT source, pos >> 8 AS pos, sha256(string_agg(pos || ':' || h, ',' ORDER BY pos, h)) AS h, sum(n) AS n FROM l0 GROUP BY source, pos >> 8),
+l2 AS (SELECT source, pos >> 8 AS pos, sha256(string_agg(pos || ':' || h, ',' ORDER BY pos, h)) AS h, sum(n) AS n FROM l1 GROUP BY source, pos >> 8),
+l3 AS (SELECT source, pos >> 8 AS pos, sha256(string_agg(pos || ':' || h, ',' ORDER BY pos, h)) AS h, sum(n) AS n FROM l2 GROUP BY source, pos >> 8),
+l4 AS (SELECT source, pos >> 8 AS pos, sha256(string_agg(pos || ':' || h, ',' ORDER BY pos, h)) AS h, sum(n) AS n FROM l3 GROUP BY source, pos >> 8)
+SELECT source, 'sha256:' || sha256(string_agg(pos || ':' || h, ',' ORDER BY pos, h)) AS digest, CAST(sum(n) AS BIGINT) AS files FROM l4 GROUP BY source"""
+
+
+@query(TREE)
 def source_lineage_digest(spark, d):
-    x = table(spark, d, "documents").select("source", "doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("h"))
-    listed = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "h"))), lambda r: F.concat_ws(":", r["doc_id"].cast("string"), r["h"])), ",")
-    return x.groupBy("source").agg(ids.digest(listed).alias("digest"), F.count("*").alias("files"))
+    x = table(spark, d, "documents").select("source", F.col("doc_id").alias("pos"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("h"))
+    return coverage.digest_tree(x, ["source"]).withColumnRenamed("n", "files")
 
 
 # --- evidence and joins ---------------------------------------------------------------------------------------------
@@ -428,7 +435,7 @@ def representative_value(spark, d):
 
 
 @query(
-    """WITH l AS (SELECT p_brand AS b, p_partkey % 5 AS k, p_size AS n FROM part WHERE p_partkey % 3 = 0),
+    """WITH l AS (SELECT p_brand || ':' || p_type || ':' || p_partkey // 100 AS b, p_partkey % 5 AS k, p_size AS n FROM part),
 g AS (SELECT b, count(DISTINCT CASE WHEN k = 0 AND n > 49 THEN n END) AS eqs, max(CASE WHEN k = 0 AND n > 49 THEN n END) AS eq, max(CASE WHEN k = 1 THEN n - 20 END) AS lo, min(CASE WHEN k = 2 THEN n + 20 END) AS hi, bool_or(k = 3 AND n = 50) AS odd FROM l GROUP BY b),
 n AS (SELECT DISTINCT b, n FROM l WHERE k = 4)
 SELECT g.b AS pred_id, CASE WHEN eqs > 1 OR (eqs = 1 AND EXISTS (SELECT 1 FROM n WHERE n.b = g.b AND n.n = g.eq)) OR (eqs = 1 AND (coalesce(eq <= lo, FALSE) OR coalesce(eq >= hi, FALSE))) OR coalesce(lo >= hi, FALSE) THEN 'unsatisfiable'
@@ -438,8 +445,8 @@ def predicate_sat(spark, d):
     k, n = F.col("p_partkey") % 5, F.col("p_size").cast("double")
     op = F.when((k == 0) & (n > 49), "=").when(k == 1, ">").when(k == 2, "<").when((k == 3) & (n == 50), "opaque").when(k == 4, "!=").otherwise("true")
     path = F.when(op.isin("opaque", "true"), None).otherwise("size")
-    lits = table(spark, d, "part").where("p_partkey % 3 = 0").select(
-        F.col("p_brand").alias("pred_id"), F.lit(0).alias("branch"), path.alias("path"), op.alias("op"), F.lit("number").alias("vtype"),
+    lits = table(spark, d, "part").select(
+        F.expr("concat_ws(':', p_brand, p_type, p_partkey div 100)").alias("pred_id"), F.lit(0).alias("branch"), path.alias("path"), op.alias("op"), F.lit("number").alias("vtype"),
         F.when(k == 1, n - 20).when(k == 2, n + 20).otherwise(n).alias("vnum"), F.lit(None).cast("string").alias("vstr"),
     )
     return P.solve(lits).select("pred_id", "status")
@@ -511,25 +518,28 @@ def path_truncation(spark, d):
     return graph.truncations(paths_of_events(spark, d)).drop("family")
 
 
-CLOSE = "SELECT DISTINCT o_custkey % 40 AS src, (o_custkey * 7 + o_orderkey) % 40 AS dst FROM orders WHERE o_orderkey % 50 = 1"
+CLOSE = "SELECT c_custkey AS src, c_custkey // 2 AS dst FROM customer"
+
+
+def tree_of_customers(spark, d, fanout: int) -> DataFrame:
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("src"), F.expr(f"c_custkey div {fanout}").alias("dst"))
 
 
 @query(f"WITH RECURSIVE e AS ({CLOSE}), c(origin, node) AS (SELECT DISTINCT src, src FROM e UNION SELECT c.origin, e.dst FROM c JOIN e ON e.src = c.node) SELECT origin, node FROM c")
 def reachable_pages(spark, d):
-    o = table(spark, d, "orders").where("o_orderkey % 50 = 1")
-    e = o.select((F.col("o_custkey") % 40).alias("src"), ((F.col("o_custkey") * 7 + F.col("o_orderkey")) % 40).alias("dst")).distinct()
+    e = tree_of_customers(spark, d, 2)
     return graph.closure(e.select(F.col("src").alias("origin"), F.col("src").alias("node")), e)
 
 
 @query(
-    """WITH e AS (SELECT DISTINCT o_custkey AS src, o_custkey * 3 % 997 AS dst FROM orders), b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
-s AS (SELECT DISTINCT src AS origin FROM e WHERE src % 100 = 7), h1 AS (SELECT DISTINCT origin, dst AS node FROM s JOIN b ON src = origin), h2 AS (SELECT DISTINCT origin, dst AS node FROM h1 JOIN b ON src = node),
+    """WITH e AS (SELECT c_custkey AS src, c_custkey // 3 AS dst FROM customer), b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
+s AS (SELECT DISTINCT src AS origin FROM e), h1 AS (SELECT DISTINCT origin, dst AS node FROM s JOIN b ON src = origin), h2 AS (SELECT DISTINCT origin, dst AS node FROM h1 JOIN b ON src = node),
 a AS (SELECT origin, origin AS node, 0 AS hop FROM s UNION ALL SELECT *, 1 FROM h1 UNION ALL SELECT *, 2 FROM h2), m AS (SELECT origin, node, min(hop) AS hop FROM a GROUP BY ALL)
 SELECT origin, node, hop FROM (SELECT *, row_number() OVER (PARTITION BY origin ORDER BY hop, node) AS k FROM m) WHERE k <= 80"""
 )
 def k_hop_neighborhood(spark, d):
-    e = table(spark, d, "orders").select(F.col("o_custkey").alias("src"), (F.col("o_custkey") * 3 % 997).alias("dst")).distinct()
-    seeds = e.where("src % 100 = 7").select(F.col("src").alias("origin"), F.col("src").alias("node")).distinct()
+    e = tree_of_customers(spark, d, 3)
+    seeds = e.select(F.col("src").alias("origin"), F.col("src").alias("node")).distinct()
     return graph.neighbourhood(seeds, e)
 
 
