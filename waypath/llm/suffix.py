@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waypath.llm.common import SHARD_BYTES, documents, shard_documents
+from waypath.llm.common import documents, shard_documents
 from waypath.llm.doubling import string_hashes
 from waypath.llm.exchange import (
     KEYS, LOW, LOW_MASK, Shard, blob_rows, bucket_edges, bucketed, covered, groups, key_rows, low_bytes, low_numbers, no_keys, read_answers, repeated, spread_out, window_runs,
@@ -35,6 +35,8 @@ from waypath.llm.exchange import (
 
 WINDOW = 50
 GRAM = 24
+#: UTF-8 bytes of a shard of documents; two shards a worker are held at once while they are compared.
+SHARD_BYTES = 8_000_000
 #: A gram in more shards than this is dealt by single windows.
 MANY = 64
 #: Bytes of one suffix-array shard.
