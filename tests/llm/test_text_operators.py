@@ -169,6 +169,49 @@ def test_similar_groups(spark, none):
     assert simhash.keep_one(d.limit(0)).count() == 0
 
 
+def shingle_set(text):
+    w = text.lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def similar_groups_by_hand(texts, at_least=0.8):
+    """The smallest id of each id's component of pairs of Jaccard similarity at_least, by comparing all pairs."""
+    sets, root = {i: shingle_set(t) for i, t in texts}, {i: i for i, _ in texts}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    pairs = 0
+    for i, x in sets.items():
+        for j, y in sets.items():
+            if i < j and len(x & y) >= at_least * len(x | y):
+                pairs += 1
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return {i: find(i) for i in sets}, pairs
+
+
+def test_similar_groups_of_edited_copies(spark):
+    """Truncated, extended and block-edited copies on both sides of 0.8."""
+    rng = random.Random(11)
+    passage, out = sentence(rng, 60, 5000).split(), []
+    for k, n in enumerate([6, 20, 60, 100, 150, 200, 300, 400, 700, 1500] * 2):
+        b = sentence(rng, n, 5000).split() + (passage if k % 3 == 0 else [])
+        n = len(b)
+        at = rng.randrange(n // 2)
+        copies = [b, b[: n - n * 10 // 100], b[: n - n * 15 // 100], b[: n - n * 19 // 100], b[: n - n * 22 // 100], b + sentence(rng, n * 15 // 100, 5000).split(), b + sentence(rng, n * 24 // 100, 5000).split()]
+        copies += [b[:at] + sentence(rng, n * p // 100, 5000).split() + b[at + n * p // 100 :] for p in (8, 14)]
+        out += [(20 * k + j, " ".join(w)) for j, w in enumerate(copies)]
+    want, pairs = similar_groups_by_hand(out)
+    assert pairs > 200
+    rng.shuffle(out)
+    d = spark.createDataFrame(out, "doc_id long, text string").repartition(3)
+    for settings in ({}, {"shard_bytes": 100_000, "common": 1, "block": 4}):
+        assert {r.doc_id: r.kept for r in simhash.similar_groups(d, **settings).collect()} == want
+
+
 @pytest.mark.parametrize("settings", [{}, {"shard_bytes": 2000}])
 def test_repeated_words(docs, rows, none, settings):
     split = [(i, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t, *_ in rows]

@@ -26,9 +26,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from waypath.llm.common import checkpoint, documents, filter_by_ids, give_back, map_texts
+from waypath.llm.common import checkpoint, documents, filter_by_ids, give_back, map_texts, shard_documents
 from waypath.llm.components import components
-from waypath.llm.exchange import mix
+from waypath.llm.exchange import KEYS, bucketed, groups, key_rows, mix, read_answers, repeated
 
 SHINGLE = 3
 MAX_BITS = 2
@@ -209,68 +209,87 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SIMILARITY = 0.8
 SIMILAR_SHINGLE = 5
-#: Fingerprints of single words, each with its own hash; bits that two texts may differ by to be compared.
-ROUNDS = 3
-CANDIDATE_BITS = 3
-#: Texts of one variant that are compared pair by pair; larger crowds are compared along equal minima of shingle hashes.
-PAIR_CROWD = 48
-#: Classes of one fingerprint that are compared one by one.
-FEW_CLASSES = 2
-MINIMA = 12
-#: Minima, of 16 bits each, that rule pairs out before their sets are compared; and how many have to be equal. Of a
-#: similarity of 0.8, 51 of 64 are expected to be, with a standard deviation of 3.2.
-SKETCH = 64
-SKETCH_EQUAL = 36
-_ROUND_KEYS = np.random.default_rng(9).integers(1, 1 << 62, 32 + SKETCH, dtype=np.int64).astype(np.uint64)
-
-
-def _word_hashes(text: str | None) -> tuple[int, np.ndarray]:
-    """Hash of the normalised text, and of each of its words."""
+#: UTF-8 bytes of a shard of distinct texts.
+SIMILAR_SHARD_BYTES = 8_000_000
+#: Shingles that more shards than this hold come last in the order of shingles.
+COMMON = 64
+#: Texts of one shingle that are compared in one group; larger lists are cut into blocks, of which each two meet.
+BLOCK = 256
+#: Counts of shingles by hash, of which two texts' bound what they can share.
+OUTLINE = 128
+
+
+def _normal(text: str | None) -> tuple[int, list[bytes]]:
+    """Hash of the normalised text, and its words."""
     words = (text or "").encode("utf-8", "replace").lower().split()
-    h = xxhash.xxh64_intdigest
-    whole = h(b" ".join(words), _SEED)
-    return whole - ((whole >> 63) << 64), np.array([h(w, _SEED) for w in words], dtype=np.uint64)
+    whole = xxhash.xxh64_intdigest(b" ".join(words), _SEED)
+    return whole - ((whole >> 63) << 64), words
 
 
-def _shingle_hashes(words: np.ndarray, shingle: int) -> np.ndarray:
-    if not len(words):
-        return words
-    n = max(1, len(words) - shingle + 1)
+def _shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
+    """Distinct hashes of the shingles."""
+    h = xxhash.xxh64_intdigest
+    values = np.array([h(w, _SEED) for w in words], dtype=np.uint64)
+    if not len(values):
+        return values
+    n = max(1, len(values) - shingle + 1)
     x = np.zeros(n, np.uint64)
-    for k in range(min(shingle, len(words))):
-        x = mix(x * np.uint64(0x9E3779B97F4A7C15) + words[k : k + n])
+    for k in range(min(shingle, len(values))):
+        x = mix(x * np.uint64(0x9E3779B97F4A7C15) + values[k : k + n])
     return np.unique(x)
 
 
-def _profiles(docs: DataFrame) -> DataFrame:
-    """(doc_id, cls, fps): a hash of the normalised text, and fingerprints of its words."""
+def _classes(docs: DataFrame) -> DataFrame:
+    """(doc_id, cls): a hash of the normalised text."""
+    return map_texts(docs, "text", [T.StructField("cls", T.LongType())], lambda: lambda texts: [[_normal(t)[0] for t in texts]], ["doc_id"])
+
+
+class _Shingles:
+    """The distinct shingles of each text of a shard, as bucketed keys."""
 
-    def make():
-        def one(text: str | None) -> tuple[int, list[int]]:
-            whole, words = _word_hashes(text)
-            found = [majority(words if r == 0 else mix(words ^ _ROUND_KEYS[r])) if len(words) else 0 for r in range(ROUNDS)]
-            return whole, [v - ((v >> 63) << 64) for v in found]
+    def __init__(self, table: pa.Table, shingle: int, buckets: int):
+        found = [_normal(t) for t in table["text"].to_pylist()]
+        self.cls = np.array([c for c, _ in found], dtype=np.int64)
+        self.hashes = [_shingle_hashes(w, shingle) for _, w in found]
+        keys = [np.unique(bucketed(h, buckets)) for h in self.hashes]
+        self.size = np.array([len(k) for k in keys], dtype=np.int64)
+        self.text = np.repeat(np.arange(len(keys)), self.size)
+        self.all = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+        self.order, self.first, self.number = groups(self.all)
+        self.keys = self.all[self.order][self.first]
 
-        return lambda texts: [list(x) for x in zip(*map(one, texts))] if texts else [[], []]
+    def shared(self) -> np.ndarray:
+        """Whether two classes hold the key."""
+        c = self.cls[self.text][self.order]
+        return np.minimum.reduceat(c, self.first) != np.maximum.reduceat(c, self.first) if len(self.first) else np.zeros(0, bool)
 
-    return map_texts(docs, "text", [T.StructField("cls", T.LongType()), T.StructField("fps", T.ArrayType(T.LongType()))], make, ["doc_id"])
 
+def _least_shared(size: np.ndarray | int, similarity: float) -> np.ndarray:
+    """Shingles that a text of so many shares at least with one of the similarity."""
+    return np.ceil(similarity * np.asarray(size) - 1e-9).astype(np.int64)
 
-def _shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
-    """(cls, shingles, minima, sketch): sorted 32-bit shingle hashes, and the smallest of several rehashings of them."""
 
-    def make():
-        def one(text: str | None) -> tuple:
-            whole, words = _word_hashes(text)
-            h = _shingle_hashes(words, shingle)
-            low = [int(mix(h ^ _ROUND_KEYS[32 + k]).min() >> np.uint64(1)) if len(h) else 0 for k in range(SKETCH)]
-            sketch = (np.array(low, dtype=np.int64) & 0xFFFF).astype(np.uint16)
-            return whole, np.unique(h.astype(np.uint32)).tobytes(), low[:MINIMA], sketch.tobytes()
+def _prefixes(table: pa.Table, told: pa.Table, shingle: int, buckets: int, similarity: float) -> pa.Table:
+    """Of each text that may have a near copy: its size, how many of its shingles no other text has, and those others
+    do have among the first `size - least + 1` in the common order (unshared, shared, common ones, each by key)."""
+    s = _Shingles(table, shingle, buckets)
+    yes, hot = read_answers(told, s.keys)
+    rank = (yes.astype(np.int64) + hot)[s.number] if len(s.keys) else np.zeros(0, np.int64)
+    order = np.lexsort((s.all, rank, s.text))
+    key, rank = s.all[order], rank[order]
+    end = np.cumsum(s.size)
+    out: list[tuple] = []
+    for i, (e, n) in enumerate(zip(end.tolist(), s.size.tolist())):
+        alone = int(np.count_nonzero(rank[e - n : e] == 0))
+        length = n - int(_least_shared(n, similarity)) + 1
+        if n and alone < length:
+            h = s.hashes[i]
+            outline = np.minimum(np.bincount((h & np.uint64(0xFFFFFFFF)) % np.uint64(OUTLINE), minlength=OUTLINE), 65535).astype("<u2")
+            out.append((int(s.cls[i]), n, alone, key[e - n + alone : e - n + length].astype(np.int64), np.unique(h.astype(np.uint32)).tobytes(), outline.tobytes()))
+    return pa.table([pa.array(v, f.type) for v, f in zip(zip(*out) if out else [[]] * 6, PREFIXES)], schema=PREFIXES)
 
-        return lambda texts: [list(x) for x in zip(*map(one, texts))] if texts else [[], [], [], []]
 
-    fields = [T.StructField("cls", T.LongType()), T.StructField("shingles", T.BinaryType()), T.StructField("minima", T.ArrayType(T.LongType())), T.StructField("sketch", T.BinaryType())]
-    return map_texts(texts, "text", fields, make, [])
+PREFIXES = pa.schema([("cls", pa.int64()), ("n", pa.int64()), ("alone", pa.int64()), ("tokens", pa.list_(pa.int64())), ("shingles", pa.binary()), ("outline", pa.binary())])
 
 
 def _chosen(pairs: DataFrame, test: Callable[[bytes, bytes], bool]) -> DataFrame:
@@ -284,8 +303,14 @@ def _chosen(pairs: DataFrame, test: Callable[[bytes, bytes], bool]) -> DataFrame
     return pairs.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _sketches_agree(x: bytes, y: bytes) -> bool:
-    return np.count_nonzero(np.frombuffer(x, np.uint16) == np.frombuffer(y, np.uint16)) >= SKETCH_EQUAL
+def _outlines_fit(x: bytes, y: bytes, similarity: float) -> bool:
+    """Whether texts of these outlines can be of the similarity: of each count they share the smaller at most.
+
+    A count that fills its 16 bits says nothing.
+    """
+    u, v = np.frombuffer(x, "<u2").astype(np.int64), np.frombuffer(y, "<u2").astype(np.int64)
+    least = int(np.minimum(u, v).sum())
+    return max(u.max(), v.max()) == 65535 or least >= similarity * (int(u.sum()) + int(v.sum()) - least) - 1e-3 * least
 
 
 def jaccard(x: bytes, y: bytes) -> float:
@@ -300,42 +325,117 @@ def _beside(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
     return pairs.join(sets.select(F.col("cls").alias("a"), F.col(column).alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col(column).alias("y")), "b")
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+def _verified_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    pairs = checkpoint(_chosen(_beside(pairs, sets, "outline"), lambda x, y: _outlines_fit(x, y, similarity)))
+    return checkpoint(_chosen(_beside(pairs, sets, "shingles"), lambda x, y: jaccard(x, y) >= similarity))
+
+
+def _with_heads(lists: DataFrame, links: DataFrame | None, by) -> DataFrame:
+    """Rows of shingles whose texts are not all in one component yet: with root, the head (least by `by`) of the
+    shingle's texts and the number of these."""
+    if links is None:
+        lists = lists.withColumn("root", F.col("cls"))
+    else:
+        linked = components(links).select(F.col("node").alias("cls"), F.col("root").alias("r"))
+        lists = lists.join(linked, "cls", "left").withColumn("root", F.coalesce("r", "cls")).drop("r")
+    heads = lists.groupBy("token").agg(F.min(F.struct(by.alias("by"), "cls", "n", "at", "root")).alias("head"), F.count("*").alias("m"), F.min("root").alias("low"), F.max("root").alias("high"))
+    return lists.join(heads.where("low < high").drop("low", "high"), "token")
+
+
+def _can_share(n: str, at: str, other_n: str, other_at: str, similarity: float):
+    """Whether two texts can be of the similarity if the first shingle they share is at these places of their order."""
+    return F.least(F.col(n) - F.col(at), F.col(other_n) - F.col(other_at)) >= similarity / (1 + similarity) * (F.col(n) + F.col(other_n)) - 1e-6
+
+
+def _to_heads(lists: DataFrame, similarity: float) -> DataFrame:
+    pairs = lists.where(F.col("root") != F.col("head.root")).where(_can_share("n", "at", "head.n", "head.at", similarity))
+    return pairs.select(F.least("cls", "head.cls").alias("a"), F.greatest("cls", "head.cls").alias("b")).distinct()
+
+
+def _cross(batches: Iterator[pa.RecordBatch], similarity: float, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches (group, cross, part, cls, root, n, at) sorted by group. Yields pairs (a, b) of a group's texts of two roots
+    that can be of the similarity; in groups of two blocks (cross), only those of different ones."""
+
+    def pairs(c: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        key, cross, part, cls, root, n, at = c
+        edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
+        end = np.repeat(edge[1:], np.diff(edge))
+        rest, off, held, count = np.arange(len(key)), 0, [], 0
+        while True:
+            off += 1
+            rest = rest[rest + off < end[rest]]
+            if len(rest):
+                j = rest + off
+                ok = (root[rest] != root[j]) & ((cross[rest] == 0) | (part[rest] != part[j]))
+                ok &= np.minimum(n[rest] - at[rest], n[j] - at[j]) >= similarity / (1 + similarity) * (n[rest] + n[j]) - 1e-6
+                a, b = cls[rest[ok]], cls[j[ok]]
+                held.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
+                count += len(a)
+            if count and (count >= most or not len(rest)):
+                both = np.unique(np.concatenate(held), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["a", "b"])
+                held, count = [], 0
+            if not len(rest):
+                return
+
+    held = [np.zeros(0, np.int64)] * 7
+    for batch in _grown(batches):
+        held = [np.concatenate([h, batch.column(i).to_numpy()]) for i, h in enumerate(held)]
+        cut = int(np.flatnonzero(held[0] != held[0][-1])[-1]) + 1 if (held[0] != held[0][-1]).any() else 0  # the last group may go on
+        if cut:
+            yield from pairs([h[:cut] for h in held])
+            held = [h[cut:] for h in held]
+    if len(held[0]):
+        yield from pairs(held)
+
+
+def _all_pairs(lists: DataFrame, similarity: float, block: int) -> DataFrame:
+    blocks = F.ceil(F.col("m") / block).cast("long")
+    part = lists.withColumn("blocks", blocks).withColumn("part", F.pmod(F.xxhash64("cls"), "blocks"))
+    met = part.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    low, high = F.least("part", "other"), F.greatest("part", "other")
+    # a group is told by a hash; two of one hash only give candidates more
+    dealt = met.select(F.xxhash64("token", low, high).alias("group"), (low != high).cast("long").alias("cross"), "part", "cls", "root", "n", "at")
+    return dealt.repartition("group").sortWithinPartitions("group", "cls").mapInArrow(lambda b: _cross(b, similarity), "a long, b long").distinct()
+
+
+def similar_groups(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY,
+    shard_bytes: int = SIMILAR_SHARD_BYTES, common: int = COMMON, block: int = BLOCK,
+) -> DataFrame:
     """(doc_id, kept): kept is the smallest doc_id of the document's group of near copies.
 
-    Equal texts (up to case and white space) are one class. Classes whose word fingerprints are close in any of the
-    rounds, by deletion variants, are compared by their sets of `shingle`-word shingles; those of the similarity or
-    more link, and links merge into groups. Nothing else decides: a close fingerprint alone removes no document.
+    Equal texts (up to case and white space) are one class. Classes whose sets of `shingle`-word shingles are of the
+    similarity or more link, and links merge into groups. All such pairs meet (prefix filtering): with the shingles of
+    every text in one order, shingles of a single text first, the first one that two such texts share is among the first
+    `size - least + 1` of both, where least is what a text shares at least. So each class is listed under those of its
+    first shingles that others have, and the texts of one list are compared: first with the list's head, twice, and then,
+    where the list is not one component yet, all pairs of different components, block by block.
     """
     d = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    marked = checkpoint(_profiles(d))
-    classes = marked.groupBy("cls").agg(F.min("doc_id").alias("first"), F.min("fps").alias("fps"))
-    rounds = classes.select(F.explode("fps").alias("fp"), "cls").distinct()
-    same = rounds.groupBy("fp").agg(F.count("*").alias("n"), F.min("cls").alias("a"))
-    # fingerprints of different rounds are as far apart as any two, so one index serves all
-    found = checkpoint(variants(same.select("fp")).repartition("key").sortWithinPartitions("key").mapInArrow(lambda b: _join(b, CANDIDATE_BITS, PAIR_CROWD, False), "a long, b long").distinct())
-    # a fingerprint of few classes takes part with all of them, one of many by the first; its classes go with the crowds
-    ends = found.where("b IS NOT NULL").join(same.select(F.col("fp").alias("a"), F.col("n").alias("na"), F.col("a").alias("x")), "a")
-    close = checkpoint(ends.join(same.select(F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("a").alias("y")), "b"))
-    few = rounds.join(same.where(F.col("n") <= FEW_CLASSES).select("fp"), "fp", "left_semi")
-    own = few.select("fp", F.col("cls").alias("x")).join(few.select("fp", F.col("cls").alias("y")), "fp").where("x < y").select("x", "y")
-    across = close.where((F.col("na") <= FEW_CLASSES) & (F.col("nb") <= FEW_CLASSES)).select("a", "b")
-    across = across.join(few.select(F.col("fp").alias("a"), F.col("cls").alias("x")), "a").join(few.select(F.col("fp").alias("b"), F.col("cls").alias("y")), "b").select("x", "y")
-    near = close.select("x", "y").unionByName(own).unionByName(across).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    shared = close.where((F.col("na") > FEW_CLASSES) | (F.col("nb") > FEW_CLASSES))
-    crowded_fps = found.where("b IS NULL").select(F.col("a").alias("fp")).unionByName(same.where(F.col("n") > FEW_CLASSES).select("fp"))
-    crowded_fps = crowded_fps.unionByName(shared.select(F.col("a").alias("fp"))).unionByName(shared.select(F.col("b").alias("fp"))).distinct()
-    crowded = rounds.join(crowded_fps, "fp", "left_semi").select("cls").distinct()
-    needed = near.select(F.col("a").alias("cls")).unionByName(near.select(F.col("b").alias("cls"))).unionByName(crowded).distinct()
-    firsts = classes.join(needed, "cls", "left_semi").select("first").distinct()
-    sets = checkpoint(_shingle_sets(filter_by_ids(d, F.col("doc_id"), firsts, "left_semi"), shingle))
-    minima = sets.join(crowded, "cls", "left_semi").select("cls", F.posexplode("minima").alias("k", "m"))
-    heads = minima.groupBy("k", "m").agg(F.min("cls").alias("a"))
-    stars = minima.join(heads, ["k", "m"]).where("a <> cls").select("a", F.col("cls").alias("b")).distinct()
-    pairs = checkpoint(_chosen(_beside(near.unionByName(stars).distinct(), sets, "sketch"), _sketches_agree))
-    ends = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    linked = components(_chosen(_beside(pairs, sets.join(ends, "cls", "left_semi"), "shingles"), lambda x, y: jaccard(x, y) >= similarity))
-    roots = classes.select("cls", "first").join(linked.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "first", F.coalesce("root", "cls").alias("root"))
+    marked = checkpoint(_classes(d))
+    classes = marked.groupBy("cls").agg(F.min("doc_id").alias("first"))
+    sharded, buckets = shard_documents(filter_by_ids(d, F.col("doc_id"), classes.select("first").distinct(), "left_semi"), "doc_id", "text", shard_bytes)
+    by_shard = sharded.groupBy("shard")
+
+    def send_keys(table: pa.Table) -> pa.Table:
+        s = _Shingles(table, shingle, buckets)
+        return key_rows(table["shard"][0].as_py(), s.keys, s.shared())
+
+    def send_prefixes(table: pa.Table, told: pa.Table) -> pa.Table:
+        return _prefixes(table, told, shingle, buckets, similarity) if len(table) else PREFIXES.empty_table()
+
+    known = repeated(by_shard.applyInArrow(send_keys, KEYS), buckets, many=common)
+    found = by_shard.cogroup(known.groupBy("shard")).applyInArrow(send_prefixes, "cls long, n long, alone long, tokens array<long>, shingles binary, outline binary")
+    sets = checkpoint(found)
+    listed = sets.select("cls", "n", "alone", F.posexplode("tokens").alias("at", "token")).select("token", "cls", "n", (F.col("alone") + F.col("at")).alias("at"))
+    lists = checkpoint(_with_heads(listed, None, F.col("cls")))
+    links = _verified_pairs(_to_heads(lists, similarity), sets, similarity)
+    lists = checkpoint(_with_heads(lists.drop("root", "head", "m"), links, F.xxhash64("token", "cls")))
+    links = checkpoint(links.unionByName(_verified_pairs(_to_heads(lists, similarity), sets, similarity)))
+    lists = _with_heads(lists.drop("root", "head", "m"), links, F.col("cls"))
+    linked = components(links.unionByName(_verified_pairs(_all_pairs(lists, similarity, block), sets, similarity)))
+    roots = classes.join(linked.withColumnRenamed("node", "cls"), "cls", "left").select("cls", "first", F.coalesce("root", "cls").alias("root"))
     of_root = roots.groupBy("root").agg(F.min("first").alias("kept"))
     of_class = roots.join(of_root, "root").select("cls", "kept")
     return marked.join(of_class, "cls").select("doc_id", "kept")
