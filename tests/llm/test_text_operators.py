@@ -7,11 +7,13 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from waypath.llm import common, decontaminate, doubling, forest, lines, packing, pii, secrets, simhash, suffix, toxicity
+from waypath.llm import common, decontaminate, doubling, exchange, forest, lines, packing, pii, secrets, simhash, suffix, toxicity
 from waypath.llm.components import components
 
 SCHEMA = "doc_id long, text string, source string, n_hit string, score int"
@@ -48,6 +50,27 @@ def multiset(x):
     return collections.Counter(map(tuple, x))
 
 
+def test_single_windows_of_equal_first_hash(monkeypatch):
+    """Windows of common grams are told apart by a second hash, whatever the first says."""
+    table = lambda i, text: pa.table({"shard": pa.array([i], pa.int32()), "doc_id": [i], "text": [text]})
+    true = suffix.string_hashes
+    monkeypatch.setattr(suffix, "string_hashes", lambda v, a, b, seed: true(v, a, b, seed) * np.uint64(seed == 2))
+    found, sent = [], []
+    for i, text in enumerate(("x" * 9 + "abcdefghijklmnopqrstuvwxyz" * 3, "y" * 9 + "zyxwvutsrqponmlkjihgfedcba" * 3)):
+        shard = exchange.Shard(table(i, text))
+        keys = suffix.Runs(shard, 50, 2).keys
+        told = []
+        for b in sorted(set((keys >> np.uint64(40)).tolist())):
+            bits = np.packbits(np.ones(int((keys >> np.uint64(40) == b).sum()), np.uint8)).tobytes()
+            told.append((i, b, bits + bits))
+        found.append(suffix.Entries(shard, pa.table({"shard": [x[0] for x in told], "bucket": [x[1] for x in told], "blob": [x[2] for x in told]}), 50, 2))
+        sent.append(found[-1].contents(i))
+    settled = suffix.compare_contents(pa.concat_tables(sent))
+    for i, e in enumerate(found):
+        e.read(settled.filter(pc.equal(settled["shard"], i)))
+        assert len(e.first) > 20 and not e.later.any() and e.open.all()
+
+
 def test_leaks(spark, docs, rows, none):
     items = [("i1", " ".join(rows[6][1].split()[5:30])), ("i2", "Café, NUL"), ("i3", None), ("i4", "..."), ("i5", rows[6][1].upper()), (None, "w1"), ("i6", "日本語テキスト" * 20)]
     bench = spark.createDataFrame(items, "item_id string, text string")

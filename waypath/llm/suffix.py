@@ -42,6 +42,7 @@ MANY = 64
 #: Bytes of one suffix-array shard.
 SUFFIX_BYTES = 500_000
 _VALUES = np.random.default_rng(5).integers(1, 1 << 63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+_SECOND_VALUES = np.random.default_rng(6).integers(1, 1 << 63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def words_at(data: np.ndarray, order: str = "<") -> np.ndarray:
@@ -242,9 +243,13 @@ class Entries:
         self.doc = shard.ids[np.searchsorted(shard.offsets, self.start, "right") - 1] if len(start) else np.zeros(0, np.int64)
         content = string_hashes(_VALUES[shard.data], self.start, self.start + self.count + window - 1, 1) if len(start) else np.zeros(0, np.uint64)
         route[single] = content[single]
-        order = np.lexsort((self.doc, content))
-        c = content[order]
-        edge = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1]))) if len(c) else np.zeros(0, np.int64)
+        second = content.copy()  # of single windows, which are dealt by the first hash, another one tells them apart
+        if single.any():
+            at = self.start[single]
+            second[single] = string_hashes(_SECOND_VALUES[shard.data], at, at + window, 2)
+        order = np.lexsort((self.doc, second, content))
+        c, c2 = content[order], second[order]
+        edge = np.flatnonzero(np.concatenate(([True], (c[1:] != c[:-1]) | (c2[1:] != c2[:-1])))) if len(c) else np.zeros(0, np.int64)
         self.group = np.empty(len(c), np.int64)
         self.group[order] = np.repeat(np.arange(len(edge)), np.diff(np.append(edge, len(c))))
         self.first = order[edge]  # of each group, an entry of its smallest document
@@ -252,7 +257,7 @@ class Entries:
         self.bucket = (key >> np.uint64(LOW)).astype(np.int64)
         self.order = np.argsort(self.bucket, kind="stable")  # of groups, as they are sent
         self.edges = bucket_edges(self.bucket[self.order])
-        self.gram, self.content = key & LOW_MASK, content[self.first] & LOW_MASK
+        self.gram, self.content = key & LOW_MASK, second[self.first] & LOW_MASK
         self.data, self.window = shard.data, window
 
     def contents(self, shard: int) -> pa.Table:
