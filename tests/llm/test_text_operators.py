@@ -235,6 +235,25 @@ def test_similar_groups_of_edited_copies(spark):
         assert {r.doc_id: r.kept for r in simhash.similar_groups(d, **settings).collect()} == want
 
 
+def test_similar_groups_of_a_crowd(spark):
+    """Pages of one template, most of them less alike than 0.8, and near copies of some; and many texts of equal words."""
+    rng = random.Random(13)
+    template, out = sentence(rng, 255, 5000).split(), []
+    for k in range(60):
+        page = template[:120] + sentence(rng, 45, 5000).split() + template[120:]
+        out.append((2 * k, " ".join(page)))
+        if k % 3 == 0:
+            out.append((2 * k + 1, " ".join([*page[:-1], "changed"])))
+    words = sentence(rng, 80, 5000).split()
+    for k in range(12):
+        rng.shuffle(words)
+        out += [(200 + 2 * k, " ".join(words)), (201 + 2 * k, " ".join([*words[1:], words[0]]))]
+    want, pairs = similar_groups_by_hand(out)
+    assert pairs >= 32 and len(set(want.values())) > 60
+    d = spark.createDataFrame(out, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.kept for r in simhash.similar_groups(d, block=8).collect()} == want
+
+
 @pytest.mark.parametrize("settings", [{}, {"shard_bytes": 2000}])
 def test_repeated_words(docs, rows, none, settings):
     split = [(i, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t, *_ in rows]
