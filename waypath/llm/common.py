@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import tempfile
 from collections.abc import Callable, Iterator, Sequence
 
@@ -45,17 +46,51 @@ def kept_columns(df: DataFrame, keep: Sequence[str] | None, fields: Sequence[T.S
     return [c for c in (df.columns if keep is None else keep) if c.lower() not in new]
 
 
+#: Stands for a missing id where ids are ordered; results have null again. So a null is the largest id.
+NO_ID = (1 << 63) - 1
+
+
+def ordered_id(c: Column) -> Column:
+    return F.coalesce(c.cast("long"), F.lit(NO_ID))
+
+
+def given_id(c: Column) -> Column:
+    """An ordered id as it is returned."""
+    return F.when(c != NO_ID, c)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, in any case."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
+def grouped(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of block_bytes or more."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.nbytes for x in held) >= block_bytes:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def map_texts(
     df: DataFrame,
     text_col: str,
     fields: Sequence[T.StructField],
     make: Callable[[], Callable[[list], list[list]]],
     keep: Sequence[str] | None = None,
+    block_bytes: int = 0,
 ) -> DataFrame:
     """Adds columns computed from one text column, row by row, in Arrow batches and without a shuffle.
 
-    make() runs once per task and returns a function from a batch's texts (str or None) to one list per field.
-    A result column replaces an input column of the same name.
+    make() runs once per task and returns a function from a batch's texts (str or None) to one list per field; batches
+    hold block_bytes or more, if the task has them. A result column replaces an input column of the same name.
     """
     names = kept_columns(df, keep, fields)
     schema = T.StructType([df.schema[c] for c in names] + list(fields))
@@ -63,7 +98,7 @@ def map_texts(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
-        for b in batches:
+        for b in grouped(batches, block_bytes) if block_bytes else batches:
             out = f(b.column(b.num_columns - 1).to_pylist())
             held = [b.column(i).cast(arrow.field(i).type) for i in range(len(names))]
             made = [pa.array(v, type=arrow.field(len(names) + i).type) for i, v in enumerate(out)]
@@ -75,10 +110,15 @@ def map_texts(
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts lineage through the reliable checkpoint folder that all executors share."""
+    """Cuts lineage through the folder in spark.checkpoint.dir that all executors share; a single machine may do without one."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="waypath-ckpt-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="waypath-ckpt-")
+        sc.setCheckpointDir(folder)
     done = df.checkpoint(eager=True)
     # shuffle files of earlier rounds go when the driver collects garbage, which it hardly does by itself in a short loop
     gc.collect()
@@ -97,7 +137,7 @@ def shard_documents(docs: DataFrame, id_col: str, text_col: str, shard_bytes: in
     shard stays at a few times SHARD_BYTES however large the table is (or at one document, where that is longer).
     """
     n = max(2, -(-text_bytes(docs, text_col) // shard_bytes))
-    doc_id = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit((1 << 63) - 1))
+    doc_id = ordered_id(F.col(f"`{id_col}`"))
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     # more shards than partitions, so that hashing shards to partitions stays even
     dealt = docs.select(F.pmod(F.xxhash64(doc_id), F.lit(4 * n)).cast("int").alias("shard"), doc_id.alias("doc_id"), text.alias("text"))
@@ -110,6 +150,7 @@ BROADCAST_IDS = 2_000_000
 
 def filter_by_ids(df: DataFrame, key: Column, ids: DataFrame, how: str) -> DataFrame:
     """df left_semi or left_anti joined to a table of distinct longs, which is broadcast if its counted size allows."""
-    kept = checkpoint(ids.toDF("__id"))
+    own = fresh(df, "__id")
+    kept = checkpoint(ids.toDF(own))
     small = kept.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return df.join(F.broadcast(kept) if small else kept, key == F.col("__id"), how)
+    return df.join(F.broadcast(kept) if small else kept, key == F.col(own), how)

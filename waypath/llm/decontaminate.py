@@ -1,16 +1,20 @@
 """Benchmark decontamination: one Aho-Corasick automaton over windows of normalised items, each text scanned once.
 
-Texts are normalised (ASCII letters lower-cased, words of digits, ASCII letters and non-ASCII characters, one space
-between words) byte by byte, so a normalised word maps to its place in the original text by position. Windows are
-runs of `window` words of an item; an item with fewer words, but not none, is one window.
-
-Defined cases: a null or wordless text has no words and no hits; a null or wordless item has no window; an item
-without an id is skipped; items that share a window are all reported; repeated documents are reported row by row.
+Texts are normalised (ASCII letters lower-cased, words of digits, ASCII letters and non-ASCII characters) byte by byte,
+so a normalised word maps to its place in the original text by position. The automaton's letters are words, numbered as
+the items name them; any other word is letter 0 and ends all matches. Windows are runs of `window` words of an item; an
+item with fewer words, but not none, is one window.
+
+Defined cases: a null or wordless text has no words and no hits; a null or wordless item has no window; the windows of
+an item without an id count as hits, but it is not named among the items; items that share a window are all reported;
+repeated documents are reported row by row; empty tables give no rows or no hits; other columns stay, but for those of
+the results' names, which are replaced. Texts of any length are read whole.
 """
 
 from __future__ import annotations
 
-import hashlib
+import uuid
+from itertools import repeat
 
 import ahocorasick
 import numpy as np
@@ -21,56 +25,57 @@ from pyspark.sql import types as T
 from waypath.llm.common import documents, map_texts
 
 WINDOW = 10
-#: UTF-8 bytes of item text in one automaton; a larger benchmark is scanned for in several automata, one after another.
-AUTOMATON_BYTES = 8_000_000
+#: UTF-8 bytes of item text in one automaton; a larger benchmark is scanned for in several automata, one after another,
+#: each held by a task for blocks of BLOCK_BYTES of its documents.
+AUTOMATON_BYTES = 1_500_000
+BLOCK_BYTES = 32_000_000
+#: Bytes of item text that are sent to all executors at most; more raise an error.
+BENCHMARK_BYTES = 500_000_000
 
 _FOLD = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256)
 )
-_AUTOMATA: dict[str, ahocorasick.Automaton] = {}
 
 
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").translate(_FOLD).split()
 
 
-def build_automaton(items: list[tuple[str, str | None]], window: int = WINDOW) -> ahocorasick.Automaton | None:
-    """Patterns are windows with a space on either side; each carries its number of words and its items."""
-    owners: dict[bytes, tuple[int, set[str]]] = {}
-    for item, text in items:
-        w = words_of(text)
-        for i in range(max(1, len(w) - window + 1) if w else 0):
-            part = w[i : i + window]
-            owners.setdefault(b" " + b" ".join(part) + b" ", (len(part), set()))[1].add(item)
-    if not owners:
-        return None
-    found = ahocorasick.Automaton()
-    for pattern, (n, who) in owners.items():
-        found.add_word(pattern.decode("latin-1"), (n, tuple(who)))
-    found.make_automaton()
-    return found
-
-
-def _automaton(items: list[tuple[str, str | None]], window: int):
-    key = hashlib.sha256(repr((window, items)).encode("utf-8", "replace")).hexdigest()
-    if key not in _AUTOMATA:
-        _AUTOMATA.clear()
-        _AUTOMATA[key] = build_automaton(items, window)
-    return _AUTOMATA[key]
-
-
-def scan(text: str | None, automaton) -> tuple[int, list[tuple[int, int]], set[str]]:
-    """Number of words, hit windows as (first word, last word + 1), items hit."""
-    w = words_of(text)
-    if not w or automaton is None:
-        return len(w), [], set()
-    norm = b" " + b" ".join(w) + b" "
-    hits = list(automaton.iter(norm.decode("latin-1")))
-    if not hits:
-        return len(w), [], set()
-    gaps = np.flatnonzero(np.frombuffer(norm, np.uint8) == 0x20)
-    last = np.searchsorted(gaps, np.array([e for e, _ in hits])).tolist()
-    return len(w), [(k - n, k) for k, (_, (n, _)) in zip(last, hits)], {i for _, (_, who) in hits for i in who}
+class Leaks:
+    """The automaton of some items' windows; each window carries its number of words and its items."""
+
+    def __init__(self, items: list[tuple[str | None, str]], window: int = WINDOW):
+        self.number: dict[bytes, int] = {}
+        owners: dict[tuple, set] = {}
+        for item, text in items:
+            w = [self.number.setdefault(x, len(self.number) + 1) for x in words_of(text)]
+            for i in range(max(1, len(w) - window + 1) if w else 0):
+                owners.setdefault(tuple(w[i : i + window]), set()).add(item)
+        self.found = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        for pattern, who in owners.items():
+            self.found.add_word(pattern, (len(pattern), frozenset(who)))
+        self.some = bool(owners)
+        if self.some:
+            self.found.make_automaton()
+
+    def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set]:
+        """Hit windows as (first word, last word + 1), and their items."""
+        if not words or not self.some:
+            return [], set()
+        hits = list(self.found.iter(tuple(map(self.number.get, words, ZEROS))))
+        return [(e + 1 - n, e + 1) for e, (n, _) in hits], {i for _, (_, who) in hits for i in who if i is not None}
+
+
+ZEROS = repeat(0)
+_KEPT: dict[str, Leaks] = {}
+
+
+def _automaton(key: str, items: list[tuple[str | None, str]], window: int) -> Leaks:
+    """The last one is kept for the worker's next batch or task."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = Leaks(items, window)
+    return _KEPT[key]
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -93,14 +98,16 @@ def original_spans(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, i
     return [(int(chars[first[a]]), int(chars[end[b - 1]])) for a, b in spans]
 
 
-def item_chunks(benchmark: DataFrame, item_col: str, text_col: str, chunk_bytes: int = AUTOMATON_BYTES) -> list[list[tuple[str, str]]]:
+def item_chunks(benchmark: DataFrame, item_col: str, text_col: str, chunk_bytes: int = AUTOMATON_BYTES) -> list[list[tuple[str | None, str]]]:
     """The items, in lists of about chunk_bytes of text at most, fetched one list at a time."""
     items = benchmark.select(F.col(f"`{item_col}`").cast("string").alias("item"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    items = items.where("item IS NOT NULL AND text IS NOT NULL")
+    items = items.where("text IS NOT NULL")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if total > BENCHMARK_BYTES:
+        raise ValueError(f"a benchmark of {total} bytes: give it in parts of {BENCHMARK_BYTES} at most")
     n = max(1, -(-int(total) // chunk_bytes))
     part = F.pmod(F.xxhash64("item", "text"), F.lit(n))
-    return [sorted((r.item, r.text) for r in items.where(part == k).collect()) for k in range(n)]
+    return [sorted(((r.item, r.text) for r in items.where(part == k).collect()), key=lambda x: (x[0] is None, x)) for k in range(n)]
 
 
 def find_leaks(
@@ -115,7 +122,7 @@ def find_leaks(
 ) -> DataFrame:
     """Adds n_words, n_hit, items (sorted ids as strings) and leak_spans (characters of the original text).
 
-    The documents are mapped where they lie; only the items' windows travel, in broadcasts of bounded size.
+    The documents are mapped where they lie; only the items travel, in broadcasts of bounded size.
     """
     fields = [
         T.StructField("n_words", T.LongType()),
@@ -124,7 +131,7 @@ def find_leaks(
         T.StructField("leak_spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))),
     ]
     sc = docs.sparkSession.sparkContext
-    shared = [sc.broadcast(c) for c in item_chunks(benchmark, item_col, item_text_col, chunk_bytes)]
+    shared = [sc.broadcast((uuid.uuid4().hex, c)) for c in item_chunks(benchmark, item_col, item_text_col, chunk_bytes)]
 
     def make():
         def f(texts: list) -> list[list]:
@@ -132,9 +139,11 @@ def find_leaks(
             items: list[set] = [set() for _ in texts]
             n_words = [0] * len(texts)
             for part in shared:
-                automaton = _automaton(part.value, window)
+                automaton = _automaton(*part.value, window)
                 for i, t in enumerate(texts):
-                    n_words[i], found, who = scan(t, automaton)
+                    words = words_of(t)
+                    n_words[i] = len(words)
+                    found, who = automaton.scan(words)
                     if found:
                         spans[i] += found
                         items[i] |= who
@@ -144,7 +153,7 @@ def find_leaks(
 
         return f
 
-    return map_texts(docs, text_col, fields, make, keep)
+    return map_texts(docs, text_col, fields, make, keep, 0 if len(shared) == 1 else BLOCK_BYTES)
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,13 +171,13 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Words, their windows and joined windows, in DuckDB; a window of an item is looked up by its words.
 ORACLE = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
-b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
 bw AS (SELECT DISTINCT item, least(len(w), 10) AS k, array_to_string(w[i : i + 9], ' ') AS win FROM (SELECT item, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS i FROM b WHERE len(w) > 0)),
 ks AS (SELECT DISTINCT k FROM bw),
 dw AS (SELECT doc_id, i, k, array_to_string(w[i : i + k - 1], ' ') AS win FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, ks WHERE len(w) >= k)),
 hits AS (SELECT doc_id, i, dw.k, item FROM dw JOIN bw ON dw.k = bw.k AND dw.win = bw.win),
 hw AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM hits) GROUP BY doc_id),
-hi AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+hi AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hits WHERE item IS NOT NULL) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)

@@ -12,8 +12,8 @@ Shards of documents compute their windows again at each level, so only keys trav
 Words are runs without ASCII white space. Every word of a window that occurs anywhere else, in the same document or
 another, is removed; windows do not cross documents and are judged on the input.
 
-Defined cases: a null text has no words; texts shorter than the window keep all words; a null id counts as the largest
-long; repeated rows of one id are judged as documents of their own.
+Defined cases: a null text has no words; texts shorter than the window keep all words; a null id stays null; repeated
+rows of one id are judged as documents of their own; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waypath.llm.common import SHARD_BYTES, documents, shard_documents
+from waypath.llm.common import SHARD_BYTES, documents, given_id, shard_documents
 from waypath.llm.exchange import KEYS, Shard, bucketed, covered, groups, key_rows, mix, no_keys, read_answers, repeated, spread_out, window_runs
 
 WINDOW = 35
@@ -202,7 +202,8 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     two = level(repeated(by_shard.cogroup(one.groupBy("shard")).applyInArrow(send_two, KEYS), buckets), 2)
     three = level(repeated(by_shard.cogroup(one.unionByName(two).groupBy("shard")).applyInArrow(send_three, KEYS), buckets, wide=True), 3)
     told = one.unionByName(two).unionByName(three)
-    return by_shard.cogroup(told.groupBy("shard")).applyInArrow(finish, "doc_id long, n_words long, n_removed long, kept string")
+    done = by_shard.cogroup(told.groupBy("shard")).applyInArrow(finish, "doc_id long, n_words long, n_removed long, kept string")
+    return done.withColumn("doc_id", given_id(F.col("doc_id")))
 
 
 def op4_windows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,20 +7,26 @@ Euclidean distance in double precision, ties to the smaller id.
 
 Equal vectors are one entry with its k + 1 smallest ids (more can never be among the k nearest, ties going to smaller
 ids), so a crowd of copies neither fills a range nor a task. Entries are dealt to shards by a hash of the vector, each
-with a forest of its own; queries go to every shard in blocks, and a query's best k of all shards are kept. The hash
-planes come from a bounded sample (`PLANE_SAMPLE` vectors); every row is indexed.
+with a forest of its own; a shard's entries come before its queries, which stream past the forest in Arrow batches, so
+that a task holds one forest and one batch. A query's best k of all shards are kept. The hash planes come from a bounded
+sample (`PLANE_SAMPLE` vectors); every row is indexed.
 
 Defined cases: null, empty and zero vectors, and those that hold a null or a non-finite component, take no part;
-neither do rows without an id or of another length than most. Fewer candidates than k give fewer rows.
+neither do rows without an id or of another length than most. Fewer candidates than k give fewer rows; ties go to
+smaller ids; rows of one id are candidates each; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from waypath.llm.common import bounded_batches
+
 K = 10
 TREES = 16
 BITS = 64
@@ -29,8 +35,9 @@ PLANE_SAMPLE = 4096
 #: Candidates that the trees' ranges must hold before the ascent ends, as a share of the shard's entries, and at least.
 CANDIDATE_SHARE = 1.5
 LEAST_CANDIDATES = 2_000
-SHARD_ROWS = 20_000
-BLOCK_QUERIES = 4_000
+#: Entries of a shard, at most on average; small tables are cut further, down to LEAST_ROWS, to occupy all cores.
+SHARD_ROWS = 100_000
+LEAST_ROWS = 20_000
 
 
 def valid_vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -99,7 +106,7 @@ def nearest(
     bits: int = BITS,
     share: float = CANDIDATE_SHARE,
     shard_rows: int = SHARD_ROWS,
-    block_queries: int = BLOCK_QUERIES,
+    least_rows: int = LEAST_ROWS,
 ) -> DataFrame:
     """index, queries: (id, v) of valid vectors. Returns query_id, rank, vec_id, score; a query's own id is left out."""
     spark = index.sparkSession
@@ -112,41 +119,56 @@ def nearest(
         sample = np.array([r.v for r in index.limit(PLANE_SAMPLE).collect()], dtype=float).reshape(-1, dim)
     normals, offsets = planes(sample, trees, bits) if len(sample) else (np.zeros((dim, trees * bits)), np.zeros(trees * bits))
     shared = spark.sparkContext.broadcast((normals, offsets))
-    shards, blocks = max(1, -(-rows // shard_rows)), max(1, -(-queries.count() // block_queries))
+    shards = max(1, -(-rows // shard_rows), min(spark.sparkContext.defaultParallelism, -(-rows // least_rows)))
     first = Window.partitionBy("v").orderBy("id")
     entries = index.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1).groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    entries = entries.select(
-        F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(None).cast("long").alias("query"), "ids", "v"
-    )
-    asked = queries.select(
-        F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.col("id").alias("query"), F.array().cast("array<long>").alias("ids"), "v"
-    )
-
-    def search(table: pa.Table) -> pa.Table:
-        vectors = table["v"].combine_chunks()
-        x = vectors.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-        query = table["query"].to_pylist()
-        is_query = np.array([q is not None for q in query])
-        ids = [i for i, q in zip(table["ids"].to_pylist(), query) if q is None]
-        own, asked_ids, ax = x[~is_query], [q for q in query if q is not None], x[is_query]
+    entries = entries.select(F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int").alias("shard"), F.lit(None).cast("long").alias("query"), "ids", "v")
+    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.col("id").alias("query"), F.array().cast("array<long>").alias("ids"), "v")
+
+    def vectors(b: pa.RecordBatch) -> np.ndarray:
+        return b.column(3).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Batches by shard, entries before queries."""
+        shard, parts, ids, forest = None, [], [], None
+        for whole in batches:
+            for b in runs(whole):
+                if b.column(0)[0].as_py() != shard:
+                    shard, parts, ids, forest = b.column(0)[0].as_py(), [], [], None
+                if b.column(1).null_count:
+                    parts.append(vectors(b))
+                    ids += b.column(2).to_pylist()
+                elif parts or forest:
+                    if forest is None:
+                        forest = Forest(np.concatenate(parts), *shared.value, trees, bits)
+                        parts, counts = [], np.array([len(i) for i in ids])
+                    yield answers(b, forest, ids, counts)
+
+    def runs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """Parts of one shard that are all entries or all queries."""
+        key = 2 * batch.column(0).to_numpy().astype(np.int64) + batch.column(1).is_valid().to_numpy(zero_copy_only=False)
+        edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
+        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
+            yield batch.slice(a, b - a)
+
+    def answers(b: pa.RecordBatch, forest: Forest, ids: list, counts: np.ndarray) -> pa.RecordBatch:
         out: tuple[list, list, list] = ([], [], [])
-        if len(own) and len(ax):
-            forest = Forest(own, *shared.value, trees, bits)
-            counts = np.array([len(i) for i in ids])
-            enough = max(LEAST_CANDIDATES, int(share * len(own)))
-            for qid, q, c in zip(asked_ids, ax, forest.candidates(ax, enough)):
-                d = np.sqrt(((own[c] - q) ** 2).sum(1))
-                # entries up to the distance at which k + 1 ids are reached
-                order = np.argsort(d, kind="stable")
-                reach = np.searchsorted(np.cumsum(counts[c[order]]), k + 1)
-                limit = d[order[min(reach, len(order) - 1)]]
-                best = sorted((d[j], i) for j in np.flatnonzero(d <= limit) for i in ids[c[j]] if i != qid)[:k]
-                out[0].extend([qid] * len(best))
-                out[1].extend(i for _, i in best)
-                out[2].extend(float(s) for s, _ in best)
-        return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
-
-    found = entries.unionByName(asked).groupBy("shard", "block").applyInArrow(search, "query_id long, vec_id long, score double")
+        asked, enough = vectors(b), max(LEAST_CANDIDATES, int(share * len(ids)))
+        for qid, q, c in zip(b.column(1).to_pylist(), asked, forest.candidates(asked, enough)):
+            d = np.sqrt(((forest.x[c] - q) ** 2).sum(1))
+            # entries up to the distance at which k + 1 ids are reached
+            order = np.argsort(d, kind="stable")
+            reach = np.searchsorted(np.cumsum(counts[c[order]]), k + 1)
+            limit = d[order[min(reach, len(order) - 1)]]
+            best = sorted((d[j], i) for j in np.flatnonzero(d <= limit) for i in ids[c[j]] if i != qid)[:k]
+            out[0].extend([qid] * len(best))
+            out[1].extend(i for _, i in best)
+            out[2].extend(float(s) for s, _ in best)
+        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["query_id", "vec_id", "score"])
+
+    bounded_batches(spark)
+    dealt = entries.unionByName(asked).repartition(shards, "shard").sortWithinPartitions("shard", F.col("query").isNotNull())
+    found = dealt.mapInArrow(search, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -1,13 +1,17 @@
 """Sum-of-squares online packing of token ids into sequences of at most `window` tokens.
 
-Every document is tokenised once; whole windows are cut off its front, and what is left goes to the fill level h that
-minimises the sum over levels of (number of partially filled sequences at that level) squared. The counts sit in one
-array of `window` levels, so a placement looks at the levels only. Each task packs its own rows. What is still open at
-a task's end is cut anew: its pieces fill whole windows, and the last tokens become sequences whose lengths are powers
-of two, which are not padded. So nothing is padded, at the cost of at most log2(window) short sequences a task.
+Every document is tokenised once; whole windows are cut off its front, and what is left goes to the fill level that
+minimises the sum over levels of (number of partially filled sequences at that level) squared. The counts sit in an
+array of `LEVELS` cells, so a placement looks at the levels only. A sequence that lacks less than one level's width is
+topped up with the first tokens of the next piece (documents may be cut), so that few stay open. Each task packs its
+own rows. At a task's end the sequences filled most stay as they are and take what they lack from the emptiest; the
+last tokens, less than a window, become sequences whose lengths are powers of two, which are not padded. So nothing is
+padded, at the cost of at most log2(window) short sequences a task.
 
 Defined cases: a null text counts as empty and still has its closing id; a null id is packed like any other; repeated
-documents are packed each; an empty table gives no rows.
+documents are packed each; ties between levels go to the fullest; an empty table gives no rows; other columns are
+ignored. Very long texts are held as ids once; a text with a run of over LONG_RUN signs of one class goes to the named
+library, as the faster one recurses on such runs.
 """
 
 from __future__ import annotations
@@ -15,6 +19,7 @@ from __future__ import annotations
 import base64
 import re
 import zlib
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,8 +33,13 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from waypath.llm.common import bounded_batches, documents, give_back
 
 WINDOW = 1024
+#: Fill levels, of which a sequence has one.
+LEVELS = 32
+#: Signs of one class (letters, digits, white space or others) on end, beyond which the faster library is not used.
+LONG_RUN = 4096
 #: Texts of these characters get the same ids from both libraries (tested); others go to the slower one.
 _COMMON = re.compile("[^\x00-ɏ]")
+_LONG_RUN = re.compile(rf"\s{{{LONG_RUN}}}|\d{{{LONG_RUN}}}|[^\W\d]{{{LONG_RUN}}}|[^\w\s]{{{LONG_RUN}}}")
 _SPECIAL = "<|endoftext|>"
 _ENCODERS: dict[tuple[str, str], Callable[[str], list[int]]] = {}
 
@@ -49,7 +59,7 @@ def encoder(vocabulary: str | None = None, ranks: str | None = None) -> Callable
         slow = []
 
         def encode(text: str) -> list[int]:
-            if _COMMON.search(text) or _SPECIAL in text:
+            if _COMMON.search(text) or _SPECIAL in text or len(text) >= LONG_RUN and _LONG_RUN.search(text):
                 if not slow:
                     from tokenizers import Tokenizer
 
@@ -62,63 +72,96 @@ def encoder(vocabulary: str | None = None, ranks: str | None = None) -> Callable
     return _ENCODERS[key]
 
 
+Piece = tuple  # document, start, ids, tokens of the document
+
+
 class SumOfSquares:
-    """Open sequences by fill level. Pieces are (doc, start, ids, doc_tokens)."""
+    """Open sequences by fill level. placed: tokens whose sequence the levels chose; moved: those that finish() moved."""
 
-    def __init__(self, window: int = WINDOW, first_id: int = 0):
+    def __init__(self, window: int = WINDOW, first_id: int = 0, levels: int = LEVELS):
         self.window, self.next_id = window, first_id
-        self.count = np.zeros(window + 1, np.int64)
-        self.open: list[list[tuple[int, list]]] = [[] for _ in range(window + 1)]
+        self.width = max(1, window // levels)  # of a level
+        self.count = [0] * (window // self.width + 1)
+        self.open: list[list[tuple[int, int, list[Piece]]]] = [[] for _ in self.count]  # fill, number, pieces
+        self.nearly: list[tuple[int, int, list[Piece]]] = []
+        self.placed = self.moved = 0
 
     def level_for(self, size: int) -> int:
-        """The level, 0 for a new sequence, whose change lowers the sum of squares most; the fullest among equals."""
-        top = self.window - size
-        cost = 2 * (self.count[size : self.window + 1] - self.count[: top + 1]) + 2
-        cost[0] = 2 * self.count[size] + 1
-        cost[top] = (1 - 2 * self.count[top]) if top else 0
-        cost[1:][self.count[1 : top + 1] == 0] = np.iinfo(np.int64).max
-        return top - int(np.argmin(cost[::-1]))
-
-    def place(self, piece: tuple) -> list[tuple]:
-        """The rows of the sequence that this piece completes, if it does."""
-        size = len(piece[2])
-        h = self.level_for(size)
-        if h:
-            number, pieces = self.open[h].pop()
-            self.count[h] -= 1
+        """The level, -1 for a new sequence, whose change lowers the sum of squares most; the fullest among equals."""
+        best, chosen = 2 * self.count[size // self.width] + 1, -1
+        for k, n in enumerate(self.count):
+            if not n or self.open[k][-1][0] + size > self.window:
+                continue
+            fill = self.open[k][-1][0] + size
+            to = fill // self.width
+            cost = 0 if to == k else 1 - 2 * n + (0 if self.window - fill < self.width else 2 * self.count[to] + 1)
+            if cost <= best:
+                best, chosen = cost, k
+        return chosen
+
+    def place(self, piece: Piece) -> list[tuple]:
+        """The rows of the sequences that this piece completes."""
+        out: list[tuple] = []
+        doc, start, ids, total = piece
+        self.placed += len(ids)
+        while self.nearly and len(ids) > (lack := self.window - self.nearly[-1][0]):
+            _, number, pieces = self.nearly.pop()
+            out += rows_of(number, [*pieces, (doc, start, ids[:lack], total)])
+            start, ids = start + lack, ids[lack:]
+        size, k = len(ids), self.level_for(len(ids))
+        fill, number, pieces = self.open[k].pop() if k >= 0 else (0, self.next_id, [])
+        if k >= 0:
+            self.count[k] -= 1
         else:
-            number, pieces = self.next_id, []
             self.next_id += 1
-        pieces.append(piece)
-        if h + size == self.window:
-            return rows_of(number, pieces)
-        self.open[h + size].append((number, pieces))
-        self.count[h + size] += 1
-        return []
+        fill, pieces = fill + size, [*pieces, (doc, start, ids, total)]
+        if fill == self.window:
+            return out + rows_of(number, pieces)
+        if self.window - fill < self.width:
+            self.nearly.append((fill, number, pieces))
+        else:
+            self.open[fill // self.width].append((fill, number, pieces))
+            self.count[fill // self.width] += 1
+        return out
 
     def finish(self) -> list[tuple]:
-        """Cuts what is still open into whole windows, then into powers of two."""
-        rest = sorted((x for level in self.open for x in level), key=lambda x: x[0])
-        self.count[:] = 0
-        self.open = [[] for _ in range(self.window + 1)]
-        pieces = [p for _, group in rest for p in group]
-        left = sum(len(p[2]) for p in pieces)
+        """Fills the fullest open sequences from the emptiest; the rest becomes sequences of powers of two."""
+        rest = deque(sorted([*self.nearly, *(x for level in self.open for x in level)], key=lambda x: (-x[0], x[1])))
+        self.nearly, self.open, self.count = [], [[] for _ in self.count], [0] * len(self.count)
         out: list[tuple] = []
-        numbers = [n for n, _ in rest][::-1]
-        while left:
-            size = self.window if left >= self.window else 1 << (left.bit_length() - 1)
-            left -= size
+        spare: deque[Piece] = deque()
+        numbers: list[int] = []
+
+        def taken(size: int) -> list[Piece]:
             held = []
             while size:
-                doc, start, ids, total = pieces.pop(0)
-                held.append((doc, start, ids[:size], total))
+                if not spare:
+                    _, number, pieces = rest.pop()
+                    numbers.append(number)
+                    spare.extend(pieces)
+                doc, start, ids, total = spare.popleft()
                 if len(ids) > size:
-                    pieces.insert(0, (doc, start + size, ids[size:], total))
+                    spare.appendleft((doc, start + size, ids[size:], total))
+                held.append((doc, start, ids[:size], total))
                 size -= len(held[-1][2])
+            return held
+
+        left = sum(x[0] for x in rest)
+        while left >= self.window:
+            fill, number, pieces = rest.popleft() if rest else (0, numbers.pop(), [])
+            lack = self.window - fill
+            self.moved += lack
+            out += rows_of(number, pieces + taken(lack))
+            left -= self.window
+        self.moved += left
+        while left:
+            size = 1 << (left.bit_length() - 1)
+            held = taken(size)
             if not numbers:
                 numbers.append(self.next_id)
                 self.next_id += 1
             out += rows_of(numbers.pop(), held)
+            left -= size
         return out
 
 

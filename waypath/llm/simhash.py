@@ -11,8 +11,9 @@ gives rows in proportion to its size, and no link is lost. Links then merge into
 Words are runs without ASCII white space, ASCII letters lower-cased; a shingle is `shingle` words joined by a space (a
 shorter text is one shingle); a bit is 1 if it is set in over half of the shingles' XXH64 values, repeats included.
 
-Defined cases: null, empty and blank texts have fingerprint 0, linked like any other; a null id is the largest long
-in components; repeated rows of one id stay rows. Extra columns are ignored.
+Defined cases: null, empty and blank texts have fingerprint 0, linked like any other; a null id is larger than all
+others in components and comes back as null; repeated rows of one id stay rows; an empty table gives no rows. Extra
+columns are ignored, except by keep_one, which returns them whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from waypath.llm.common import checkpoint, documents, filter_by_ids, give_back, map_texts, shard_documents
+from waypath.llm.common import checkpoint, documents, filter_by_ids, give_back, given_id, map_texts, ordered_id, shard_documents
 from waypath.llm.components import components
 from waypath.llm.exchange import KEYS, bucketed, groups, key_rows, mix, read_answers, repeated
 
@@ -61,7 +62,7 @@ def majority(values: np.ndarray) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp): fp as a signed long."""
-    d = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    d = docs.select(ordered_id(F.col(f"`{id_col}`")).alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     make = lambda: lambda texts: [[(v := fingerprint(t, shingle)) - ((v >> 63) << 64) for t in texts]]
     return map_texts(d, "text", [T.StructField("fp", T.LongType())], make, ["doc_id"])
 
@@ -197,7 +198,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     roots = classes.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     of_root = roots.groupBy("root").agg(F.min("first").alias("component_id"))
     of_fp = roots.join(of_root, "root").select("fp", "component_id")
-    return marked.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+    return marked.join(of_fp, "fp").select(given_id(F.col("doc_id")).alias("doc_id"), "fp", given_id(F.col("component_id")).alias("component_id"))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -412,7 +413,7 @@ def similar_groups(
     first shingles that others have, and the texts of one list are compared: first with the list's head, twice, and then,
     where the list is not one component yet, all pairs of different components, block by block.
     """
-    d = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    d = docs.select(ordered_id(F.col(f"`{id_col}`")).alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     marked = checkpoint(_classes(d))
     classes = marked.groupBy("cls").agg(F.min("doc_id").alias("first"))
     sharded, buckets = shard_documents(filter_by_ids(d, F.col("doc_id"), classes.select("first").distinct(), "left_semi"), "doc_id", "text", shard_bytes)
@@ -446,6 +447,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
 
     Of a null or repeated id, rows stay or go together.
     """
-    own = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit((1 << 63) - 1))
+    own = ordered_id(F.col(f"`{id_col}`"))
     gone = similar_groups(docs, id_col, text_col, shingle, similarity).where("kept <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
     return filter_by_ids(docs, own, gone, "left_anti")

@@ -14,7 +14,8 @@ are merged by binary search of each one's windows in the sorted windows of those
 group decides: a window goes if its own document is larger.
 
 Windows do not cross documents and are judged on the input. Defined cases: a null text counts as empty; texts below
-the window keep all bytes; a null id is the largest long; of rows with one id neither is earlier than the other.
+the window keep all bytes; a null id is larger than all others and comes back as null; of rows with one id neither is
+earlier than the other; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waypath.llm.common import documents, shard_documents
+from waypath.llm.common import documents, given_id, shard_documents
 from waypath.llm.doubling import string_hashes
 from waypath.llm.exchange import (
     KEYS, LOW, LOW_MASK, Shard, blob_rows, bucket_edges, bucketed, covered, groups, key_rows, low_bytes, low_numbers, no_keys, read_answers, repeated, spread_out, window_runs,
@@ -419,7 +420,8 @@ def earlier_substrings(
     told = numbered(known, 1).unionByName(numbered(settled, 2))
     pieces = by_shard.cogroup(told.groupBy("shard")).applyInArrow(send_pieces, KEYS)
     told = told.unionByName(numbered(in_buckets(pieces, lambda t: compare_pieces(t, window, suffix_bytes)), 3))
-    return by_shard.cogroup(told.groupBy("shard")).applyInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    done = by_shard.cogroup(told.groupBy("shard")).applyInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return done.withColumn("doc_id", given_id(F.col("doc_id")))
 
 
 def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
