@@ -519,11 +519,101 @@ def test_pipeline(spark, tmp_path):
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(range(60))
 
 
-def test_contract_columns(spark):
+def test_queries_equal_their_sql(spark):
+    """Every row and column of the queries that have SQL, over the smallest tables."""
+    import duckdb
+
     from waypath.llm.registry import ORACLE_SQL, QUERIES
 
+    sf, duck = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("documents", "benchmark"):
+        duck.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
+    for name, sql in ORACLE_SQL.items():
+        got, want = QUERIES[name](spark, sf), duck.sql(sql)
+        assert sorted(got.columns) == sorted(want.columns)
+        assert multiset(got.select(*want.columns).collect()) == multiset(want.fetchall()), name
+
+
+def test_contract_columns(spark):
+    """Columns, types and rows of all ten queries; what SQL can't express is held against the rows by hand."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from waypath.llm.registry import QUERIES
+
     sf = "/root/testdata/sf0.001"
-    n = common.documents(spark, sf).count()
-    for name in ("op1_decontaminate", "op5_secrets", "op7_lines", "op10_pii"):
-        assert QUERIES[name](spark, sf).count() == n
-    assert set(ORACLE_SQL) <= set(QUERIES)
+    texts = {r.doc_id: r.text or "" for r in common.documents(spark, sf).select("doc_id", "text").collect()}
+    want = {
+        "op3_simhash": "doc_id bigint, fingerprint string, component_id bigint",
+        "op6_packing": "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint",
+        "op8_toxicity": "doc_id bigint, held_out boolean, score double, predicted int",
+        "op9_forest": "query_id bigint, rank int, vec_id bigint, score double",
+        "op10_pii": "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string",
+    }
+    rows = {}
+    for name, columns in want.items():
+        out = QUERIES[name](spark, sf)
+        assert ", ".join(f"{c} {t}" for c, t in out.dtypes) == columns, name
+        rows[name] = out.collect()
+    prints = {i: simhash.fingerprint(t) for i, t in texts.items()}
+    assert {r.doc_id: int(r.fingerprint, 16) for r in rows["op3_simhash"]} == prints
+    component = {r.doc_id: r.component_id for r in rows["op3_simhash"]}
+    for i, x in prints.items():
+        assert component[component[i]] == component[i] <= i
+        assert all(component[j] == component[i] for j, y in prints.items() if (x ^ y).bit_count() <= 2)
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    t.encode_special_tokens = True
+    pieces = collections.defaultdict(list)
+    for r in rows["op6_packing"]:
+        pieces[r.doc_id].append((r.start, r.length, r.ids_crc32, r.doc_tokens))
+    for i, x in texts.items():
+        ids, at = np.array([*t.encode(x, add_special_tokens=False).ids, 0], dtype="<u4"), 0
+        for start, length, crc, total in sorted(pieces[i]):
+            assert start == at and total == len(ids) and crc == zlib.crc32(ids[at : at + length].tobytes())
+            at += length
+        assert at == len(ids)
+    assert {r.doc_id: r.held_out for r in rows["op8_toxicity"]} == {i: zlib.crc32(str(i).encode()) % 4 == 2 for i in texts}
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows["op8_toxicity"])
+    automaton = pii.anchors()
+    for r in rows["op10_pii"]:
+        spans = pii.find_spans(texts[r.doc_id], automaton)
+        assert r.base_sha256 == pii.digest(spans) and r.spans == ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in spans)
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(k == n for _, k, _ in spans) for n in range(4))
+    assert len(rows["op10_pii"]) == len(rows["op3_simhash"]) == len(rows["op8_toxicity"]) == len(texts)
+
+
+def test_held_out_toxicity(spark):
+    """Quality on rows that took no part in training."""
+    from waypath.llm.registry import QUERIES
+
+    sf = "/root/testdata/sf0.1"
+    marked = QUERIES["op8_toxicity"](spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet").where("toxic IS NOT NULL"), "doc_id")
+    n = collections.Counter((r.toxic, r.predicted) for r in marked.select("toxic", "predicted").collect())
+    assert n[1, 1] >= 0.9 * (n[1, 0] + n[1, 1]) and n[0, 1] <= 0.01 * (n[0, 0] + n[0, 1])
+
+
+def test_pipeline_cases(spark, tmp_path):
+    """Nulls, empty texts, ties, clashing columns and empty tables, stage by stage."""
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score string, predicted string, n_lines string, n_removed string, n_hit string, items string, kept string, c0 string, __id string"
+    rng = random.Random(8)
+    same = sentence(rng, 30, 5000)
+    more = ("s", "p", "l", "r", "h", "i", "k", "c", "d")
+    data = [(1, None, "en", "a", 0, *more), (2, "", "en", None, 0, *more), (3, same, None, "a", 1, *more), (3, same, None, "a", 1, *more), (None, sentence(rng, 30, 5000), "en", "a", 1, *more), (5, "q1 q2 q3", "en", "b", 1, *more)]
+    data += [(6, "word " * 30_000, "en", "b", 1, *more)]
+    for name, labels, items in (("full", [(3, 1, 0)], [(1, "q1 q2 q3"), (None, "q9 q8")]), ("none", [], [])):
+        d = str(tmp_path / name)
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+        spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+        for rows in (data, []):
+            docs = spark.createDataFrame(rows, schema)
+            for stage, f in corpus_pipeline.STAGES[:-1]:
+                docs = f(spark, docs, d)
+                assert docs.columns == [c.split()[0] for c in schema.split(", ")], stage
+                out = docs.collect()
+                assert all((r.score, r.predicted, r.n_lines, r.n_removed, r.n_hit, r["items"], r.kept, r.c0, r["__id"]) == more for r in out), stage
+                docs = spark.createDataFrame(out, schema)
+            # the empty text leaves with the null one, which near_dedup takes as equal; the leak leaves where the benchmark has it
+            assert sorted((r.doc_id or 0) for r in out) == (([0, 1, 3, 3, 6] if items else [0, 1, 3, 3, 5, 6]) if rows else [])
+            assert corpus_pipeline.STAGES[-1][1](spark, docs, d).select("doc_id").distinct().count() == len({r.doc_id for r in out})

@@ -149,3 +149,21 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.transform(base, line), ","), 256).alias("base_sha256"),
         F.array_join(F.transform("secrets", line), ",").alias("spans"),
     )
+
+
+#: Places of matches by running sums of the lengths between and of them; windows of candidates one by one, in DuckDB.
+ORACLE = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+k(ord, kind, pat) AS (VALUES (0, 'assign', '(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)'),
+  (1, 'access', 'AKIA[A-Z0-9]{{12,}}'), (2, 'hex', '[0-9a-f]{{32,}}'), (3, 'entropy', '[A-Za-z0-9+/_=-]{{20,}}')),
+x AS (SELECT r, ord, kind, pat, unnest(m) AS m, unnest(g[1 : len(m)]) AS g, unnest(range(len(m))) AS j FROM (SELECT r, ord, kind, pat, regexp_extract_all(t, pat) AS m, string_split_regex(t, pat) AS g FROM d, k)),
+s AS (SELECT r, ord, kind, pat, m, sum(length(g) + length(m)) OVER (PARTITION BY r, ord ORDER BY j) AS e FROM x),
+base AS (SELECT r, ord, kind, e - length(m) AS a, e FROM s WHERE ord IN (1, 2) OR ord = 0 AND length(regexp_extract(m, pat, 1)) >= 8),
+cand AS (SELECT r, ord, kind, e - length(m) AS a, e, m, CASE WHEN regexp_full_match(m, '[0-9a-fA-F]+') THEN {THRESHOLDS["hex"]} WHEN regexp_full_match(m, '[A-Za-z0-9]+') THEN {THRESHOLDS["alnum"]} ELSE {THRESHOLDS["base64"]} END AS least
+  FROM s WHERE ord = 3 AND regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]') AND NOT regexp_matches(m, '{ALLOWED}')),
+more AS (SELECT r, ord, kind, a, e FROM (SELECT *, unnest(range(1, length(m) - 18)) AS i FROM cand) GROUP BY ALL HAVING max(list_aggregate(string_split(substr(m, i, 20), ''), 'entropy')) >= any_value(least)),
+every AS (SELECT * FROM base UNION ALL SELECT * FROM more WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.r = more.r AND b.a < more.e AND more.a < b.e)),
+g AS (SELECT r, count(*) FILTER (ord = 0) AS n_assign, count(*) FILTER (ord = 1) AS n_access, count(*) FILTER (ord = 2) AS n_hex,
+  string_agg(kind || ':' || a || ':' || e, ',' ORDER BY a, ord) FILTER (ord < 3) AS b, string_agg(kind || ':' || a || ':' || e, ',' ORDER BY a, ord) AS spans FROM every GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (r)
+"""

@@ -427,3 +427,19 @@ def earlier_substrings(
 def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = earlier_substrings(documents(spark, sf_dir))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Windows of 50 bytes by the MD5 of their hexadecimal digits, hits merged to spans, and what lies between these, in DuckDB.
+ORACLE = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, strlen(coalesce(text, '')) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT r, doc_id, b, substr(h, 2 * b + 1, 2098) AS part FROM (SELECT r, doc_id, h, unnest(range(0, n, 1000)) AS b FROM d)),
+win AS (SELECT r, doc_id, b + i AS p, md5(substr(part, 2 * i + 1, 100)) AS s FROM (SELECT *, unnest(range(0, 1000)) AS i FROM c) WHERE strlen(part) >= 2 * i + 100),
+hit AS (SELECT r, p FROM (SELECT r, p, doc_id, min(doc_id) OVER (PARTITION BY s) AS least FROM win) WHERE least < doc_id),
+island AS (SELECT r, min(p) AS a, max(p) + 50 AS b FROM (SELECT r, p, sum(new) OVER (PARTITION BY r ORDER BY p) AS g
+  FROM (SELECT r, p, CASE WHEN p - lag(p) OVER (PARTITION BY r ORDER BY p) <= 50 THEN 0 ELSE 1 END AS new FROM hit)) GROUP BY r, g),
+piece AS (SELECT r, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS x, a AS y FROM island UNION ALL SELECT r, coalesce(b, 0), n FROM d LEFT JOIN (SELECT r, max(b) AS b FROM island GROUP BY r) USING (r)),
+kept AS (SELECT r, sum(y - x) AS left, string_agg(substr(h, 2 * x + 1, 2 * (y - x)), '' ORDER BY x) AS hex FROM piece JOIN d USING (r) GROUP BY r),
+spans AS (SELECT r, count(*) AS n_spans FROM island GROUP BY r)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(n - kept.left AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(hex)) AS kept_sha256
+FROM d JOIN kept USING (r) LEFT JOIN spans USING (r)
+"""
