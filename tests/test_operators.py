@@ -38,13 +38,23 @@ def test_predicates(spark, expr, status, assignments):
     df = spark.createDataFrame([("p", expr)], "id string, e string")
     r = P.solve(P.literals(df, "id", "e")).first()
     assert (r.status, r.assignments) == (status, assignments)
+    found = P.models(P.parse(expr))  # the solver of one expression says the same
+    assert P.status_of(P.parse(expr)) == status
+    best = next((v for _, s, v in found if s == status), {})
+    assert set(best) == {x.split("=")[0] for x in assignments.split("; ") if x}
 
 
 def test_predicate_limit_and_labels():
     wide = " && ".join(f"(a{i} || b{i})" for i in range(6))
     assert P.branches(P.parse(wide)) == [[{"kind": "opaque", "text": "more alternatives than the limit"}]]
     assert P.label(P.parse("a === 'x' && !b")) == "a = x and not (b = true)"
-    assert P.split_top("f(a || b) || 'c||d'", "||") == ["f(a || b) ", " 'c||d'"]
+    assert P.label(P.parse("f(a || b) || 'c||d' === x || y?.z == \"it's\"")) == "f(a || b) or 'c||d' === x or y.z = it's"
+    assert P.parse("") == P.parse("  ") == P.parse(None) == P.parse("(())") == P.TRUE
+    assert P.parse("((a) && (b || (c)))") == P.parse("a && (b || c)")
+    for odd in ("(a", "a)", "f(]", "items.some(x => x > 3)", "a === b", "3 < a", "'\\'' + b"):
+        assert P.parse(odd) == {"kind": "opaque", "text": odd}
+    assert P.parse("name === 'O\\'Hara (x)'")["value"] == "O'Hara (x)"
+    assert P.parse("!a === true") == {"kind": "not", "item": P.parse("a === true")}
     assert P.canonical(P.parse("true")) == '{"kind":"true"}'
 
 
@@ -94,6 +104,24 @@ def test_closure_and_neighbourhood(spark):
     s = spark.createDataFrame([(1, 1), (4, 4)], "origin int, node int")
     assert sorted(map(tuple, graph.closure(s, e).collect())) == [(1, 1), (1, 2), (1, 3), (4, 4), (4, 5)]
     assert len(graph.neighbourhood(s, e, 2, 2).collect()) == 4
+    chain = spark.createDataFrame([(i, i + 1) for i in range(80)], "src int, dst int")
+    assert graph.closure(spark.createDataFrame([(0, 0)], "origin int, node int"), chain).count() == 81
+
+
+def test_synthesised_values(spark):
+    rows = [("code", "1", "required", None, None, None), ("code", "2", "minLength", 3.0, None, None), ("mail", "3", "format", None, "email", None), ("age", "4", "min", 17.5, None, None), ("age", "5", "type", None, "integer", None), ("odd", "6", "opaque", None, None, None), ("kind", "7", "enum", None, None, ["B", "A"]), ("none", "8", "max", -1.0, None, None), ("flag", "9", "type", None, "boolean", None)]
+    rules = spark.createDataFrame(rows, "field string, id string, kind string, num_value double, str_value string, arr_value array<string>")
+    got = {r.field: r.value for r in C.synthesised(rules, "field").collect()}
+    assert got == {"code": "AAA", "mail": "test@example.com", "age": "18", "odd": None, "kind": "B", "none": None, "flag": "true"}
+    fields = spark.createDataFrame([("kind", ["A", "B"], None), ("code", ["AB", "ABC"], None), ("mail", ["a@b.c"], "x")], "field string, options array<string>, assigned string")
+    assert {r.field: r.value for r in C.option_values(fields, rules, "field").collect()} == {"kind": "B", "code": "ABC", "mail": None}
+
+
+def test_template_join(spark):
+    routes = spark.createDataFrame([("/a/1/c",), ("/a/b/c",), ("/x",), ("/f/doc-7",), ("/",), ("/a/{id}/c",)], "route string")
+    t = spark.createDataFrame([("/a/:id/c", 1), ("/a/b/:z", 2), ("/a/b/c", 3), ("/f/doc-:n", 4), ("/", 5), ("/:q/:r/:s", 0)], "template string, n int")
+    got = {r.route: r.matched for r in joins.template_join(routes, t, "route", "template", "n").collect()}
+    assert got == {"/a/1/c": "/{param}/{param}/{param}", "/a/b/c": "/a/b/c", "/x": None, "/f/doc-7": "/f/doc-{param}", "/": "/", "/a/{id}/c": "/a/{param}/c"}
 
 
 def test_joins(spark):
@@ -118,7 +146,14 @@ def test_constraints(spark):
     assert check("3.0", "type", s="integer") == "valid"
     rules = spark.createDataFrame([("f", "1", "enum", None, None, ["a", "b"]), ("f", "2", "enum", None, None, ["c"]), ("g", "3", "minLength", 3.0, None, None), ("g", "4", "maxLength", 5.0, None, None)], "field string, id string, kind string, num_value double, str_value string, arr_value array<string>")
     assert {r.field: r.status for r in C.consistency(rules, "field").collect()} == {"f": "inconsistent", "g": "consistent"}
-    assert one(spark, C.sensitive(F.lit("userApiKey"))) and not one(spark, C.sensitive(F.lit("shippingCity")))
+    assert one(spark, C.sensitive(F.lit("user.apiKey"))) and not one(spark, C.sensitive(F.lit("shippingCity")))
+    for name, kind in (("login.pwd", "secret-reference"), ("a.pin", "secret-reference"), ("spinner", "synthetic-constrained"), ("primaryApplicantId", "existing-entity"), ("taxNumber", "existing-entity"), ("phoneNumber", "synthetic-constrained"), ("productCode", "runtime-option"), ("x[otp]", "secret-reference")):
+        assert one(spark, C.field_class(F.lit(name), F.lit(None).cast("string"), F.lit(None).cast("boolean"), F.lit(None).cast("boolean"))) == kind, name
+    assert one(spark, C.strategies(F.lit("secret-reference"))) == "corporate-secret-store"
+    issue = lambda *x: one(spark, C.modality_issue(*[F.lit(v).cast("string") for v in x]))
+    assert issue("secret-reference", "x", None, None, None) == "secret-as-value" and issue("flow-literal", "x", None, None, "y") == "unexpected-value"
+    assert issue("secret-reference", None, "vault://a/b", None, None) is None and issue("flow-literal", None, "vault://a", None, None) == "reference-for-plain-value"
+    assert issue("secret-reference", None, "plain", None, None) == "reference-not-approved" and issue("flow-literal", None, None, None, None) == "nothing-bound"
 
 
 def test_steps(spark):
@@ -163,7 +198,7 @@ def test_sources(spark, tmp_path):
     assert wiki == {"Order": ["Purchase", "Buy"], "Empty": []}
     (tmp_path / "g.json").write_text('{"vertices": [{"key": "a", "type": "Endpoint"}, {"id": "b"}], "links": [{"from": "a", "to": "b", "relation": "calls"}, {"from": "a", "to": "z"}]}')
     nodes, edges = imports.import_graph(spark, str(tmp_path / "g.json"))
-    assert {(r.id, r.kind) for r in nodes.collect()} == {("a", "endpoint"), ("b", "external")}
+    assert {(r.id, r.kind) for r in nodes.collect()} == {("a", "java-endpoint"), ("b", "concept")}
     assert [tuple(r) for r in edges.collect()] == [("a", "b", "calls")]
 
 

@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waypath.functions.ids import words_of_name
+from waypath.functions.ids import leaf_name, words_of_name
 
 EMAIL = r"^[A-Za-z0-9.!#$%&'*+/=?^_`{|}~-]+@[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?)*$"
-SENSITIVE_WORDS = ("password", "passwd", "passcode", "secret", "token", "otp", "pin", "cvv", "cvc", "credential")
-SENSITIVE_PAIRS = ("accesskey", "apikey", "privatekey", "securitycode", "onetimepassword")
+# Names that count as sensitive (any word of a name; a whole name without separators).
+SENSITIVE_WORDS = ("password", "passwd", "passcode", "pwd", "token", "secret", "otp", "credential", "credentials", "cvv", "cvc")
+SENSITIVE_NAMES = (
+    "apikey", "accesskey", "privatekey", "clientsecret", "sessioncookie", "authcode", "accesscode", "verificationcode", "securitycode", "authpin", "loginpin",
+    "securitypin", "pin",
+)
 
 
 def portable(pattern: Column) -> Column:
@@ -86,32 +90,118 @@ def representative(candidates: DataFrame, constraints: DataFrame, key: str) -> D
     return judged.groupBy(key).agg(F.min_by(F.when(F.col("status") == "valid", F.col("value")), F.when(F.col("status") == "valid", F.col("pos"))).alias("value"))
 
 
-def sensitive(name: Column) -> Column:
-    words = words_of_name(name)
-    return F.arrays_overlap(words, F.array(*map(F.lit, SENSITIVE_WORDS))) | F.exists(F.array(*map(F.lit, SENSITIVE_PAIRS)), lambda p: F.array_join(words, "").contains(p))
+def sensitive(path: Column) -> Column:
+    """Whether a part of a path (between dots and brackets) is a sensitive name."""
+    words, names = (F.array(*map(F.lit, x)) for x in (SENSITIVE_WORDS, SENSITIVE_NAMES))
+    parts = F.filter(F.split(path, r"[.\[\]]+"), lambda x: F.trim(x) != "")
+    return F.exists(parts, lambda x: F.arrays_overlap(words_of_name(x), words) | F.array_contains(names, F.array_join(words_of_name(x), "")))
 
 
-def field_class(name: Column, options: Column, actor: Column, read_only: Column) -> Column:
-    """What kind of value a field needs; the first rule that holds decides."""
+# What the leaf of a path that names an existing entity looks like.
+ENTITY_LEAF = (
+    "(?i)(?:(?:id|identifier|key|reference|ref)$|^(?:applicant|customer|account|entity)$|^(?:account|customer|application|applicant|tax|national|socialSecurity).*(?:number|no)$|^(?:ssn|pan|tin|iban)$)"
+)
+OPTION_CONTROL = "(?i)select|picker|combobox"
+
+
+def field_class(path: Column, control: Column, has_options: Column, assigned: Column) -> Column:
+    """What kind of value a field needs; the first rule that holds decides.
+
+    path: the field's data path. control: its kind. has_options: it has a source of options. assigned: the flow's
+    condition fixes its value.
+    """
+    control = F.coalesce(control, F.lit(""))
     return (
-        F.when(sensitive(name), "secret-reference")
-        .when(actor, "actor-attribute")
-        .when(F.size(options) > 0, "static-option")
-        .when(F.rlike(name, F.lit("(?i)(^|[a-z])id$|number$|reference$")), "existing-entity")
-        .when(read_only, "derived")
-        .otherwise("generated")
+        F.when(sensitive(control) | sensitive(path), "secret-reference")
+        .when(F.rlike(leaf_name(path), F.lit(ENTITY_LEAF)), "existing-entity")
+        .when(F.coalesce(has_options, F.lit(False)) | F.rlike(path, F.lit("(?i)code$")) | F.rlike(control, F.lit(OPTION_CONTROL)), "runtime-option")
+        .when(F.coalesce(assigned, F.lit(False)), "flow-literal")
+        .otherwise("synthetic-constrained")
     )
 
 
+# The ways to come by a value of each class, in order.
 STRATEGIES = {
-    "secret-reference": "secret-manager", "actor-attribute": "actor-profile", "static-option": "static-value",
-    "existing-entity": "entity-lookup,fixture", "derived": "none", "generated": "generator",
-}
+    "flow-literal": "path-assignment",
+    "synthetic-constrained": "constraint-generator",
+    "derived": "execution-binding",
+    "runtime-option": "runtime-option-provider",
+    "existing-entity": "approved-fixture,read-only-lookup,test-builder,manual-binding",
+    "authenticated-identity": "approved-identity-catalog,secret-reference,manual-binding",
+    "actor-attribute": "approved-actor-fixture,approved-identity-catalog,manual-binding",
+    "secret-reference": "corporate-secret-store",
+    "external-manual": "manual-request",
+}
 
 
 def strategies(kind: Column) -> Column:
+    """Strategies of a class, comma-joined; null for an unknown one."""
     pairs = [F.lit(x) for kv in STRATEGIES.items() for x in kv]
-    return F.coalesce(F.create_map(*pairs)[kind], F.lit("manual"))
+    return F.create_map(*pairs)[kind]
+
+
+def usable(status: Column, verified: Column, expires: Column, now: Column) -> Column:
+    """Whether a runtime binding may be used: bound, verified and not expired (null: never expires)."""
+    return F.coalesce((status == "bound") & verified & (expires.isNull() | (expires > now)), F.lit(False))
+
+
+#: Classes whose values are kept outside and only referred to.
+SECRET_CLASSES = ("secret-reference", "authenticated-identity")
+SECRET_REFERENCE = r"^[a-z][a-z0-9+.-]*://[^\s]+$"
+
+
+def modality_issue(kind: Column, value: Column, secret_ref: Column, resolver: Column, expected: Column) -> Column:
+    """The first rule that a binding breaks, null if none: one modality only, secrets by reference, expected values kept."""
+    given = F.lit(0)
+    for c in (value, secret_ref, resolver):
+        given = given + c.isNotNull().cast("int")
+    secret = kind.isin(*SECRET_CLASSES)
+    return (
+        F.when(given == 0, "nothing-bound")
+        .when(given > 1, "several-modalities")
+        .when(secret & value.isNotNull(), "secret-as-value")
+        .when(~secret & secret_ref.isNotNull(), "reference-for-plain-value")
+        .when(secret_ref.isNotNull() & ~F.rlike(secret_ref, F.lit(SECRET_REFERENCE)), "reference-not-approved")
+        .when(value.isNotNull() & expected.isNotNull() & (value != expected), "unexpected-value")
+    )
+
+
+def candidates(constraints: DataFrame, key: str) -> DataFrame:
+    """(key, pos, value): values to try for a field, in order: its options, an address, booleans, its least number, then
+    texts of its least length. Fields with an opaque or size constraint have none; keys are those of `constraints`."""
+    k, num = F.col("kind"), F.col("num_value")
+    text = lambda kind, v: F.max((k == kind) & (F.col("str_value") == v))
+    g = constraints.groupBy(key).agg(
+        F.flatten(F.transform(F.array_sort(F.collect_list(F.when(k == "enum", F.struct("id", "arr_value")))), lambda x: x["arr_value"])).alias("options"),
+        text("format", "email").alias("email"), text("type", "boolean").alias("boolean"), text("type", "integer").alias("integer"),
+        (text("type", "number") | F.max(k.isin("min", "max"))).alias("number"), F.greatest(F.lit(0.0), F.max(F.when(k == "min", num))).alias("low"),
+        F.greatest(F.lit(1.0), F.max(F.when(k == "minLength", num))).cast("int").alias("length"), F.max(k.isin("opaque", "size")).alias("closed"),
+    )
+    yes = lambda c, *v: F.when(F.coalesce(F.col(c), F.lit(False)), F.array(*[x if isinstance(x, Column) else F.lit(x) for x in v])).otherwise(F.array().cast("array<string>"))
+    whole = F.ceil("low").cast("string")
+    plain = F.when(F.col("low") == F.floor("low"), F.floor("low").cast("string")).otherwise(F.col("low").cast("string"))
+    tries = F.concat(
+        F.coalesce("options", F.array().cast("array<string>")), yes("email", "test@example.com"), yes("boolean", "true", "false"), yes("integer", whole, "1"), yes("number", plain, "1"),
+        F.array(F.repeat(F.lit("A"), F.col("length")), F.lit("TEST"), F.lit("test"), F.lit("1234567890")),
+    )
+    return g.where(~F.coalesce("closed", F.lit(False))).select(key, F.posexplode(tries).alias("pos", "value"))
+
+
+def synthesised(constraints: DataFrame, key: str) -> DataFrame:
+    """(key, value): the first candidate that all constraints of the key accept, null if none does."""
+    found = representative(candidates(constraints, key), constraints, key)
+    return constraints.select(key).distinct().join(found, key, "left").select(key, "value")
+
+
+def option_values(fields: DataFrame, constraints: DataFrame, key: str) -> DataFrame:
+    """(key, value): for fields (key, options, assigned) with static options, the assigned value, or else the synthesised
+    one, or else the first option, whichever is an option that all constraints accept; null if none is."""
+    made = synthesised(constraints, key).withColumnRenamed("value", "__made")
+    f = fields.where(F.size("options") > 0).join(made, key, "left")
+    order = F.when(F.col("assigned").isNotNull(), F.array("assigned")).otherwise(F.concat(F.array("__made"), "options"))
+    tries = f.select(key, "options", F.posexplode(order).alias("pos", "value")).where(F.col("value").isNotNull() & F.array_contains("options", F.col("value")))
+    found = representative(tries.select(key, "pos", "value"), constraints, key)
+    return fields.select(key).join(found, key, "left").select(key, "value")
 
 
 def redact(constraints: Column, hidden: Column) -> Column:

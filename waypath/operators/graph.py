@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,16 +13,24 @@ MAX_VISITS = 2
 
 
 def _settled(df: DataFrame) -> DataFrame:
-    """Cuts lineage between levels in the shared checkpoint folder, where one is set; else the plan grows."""
+    """Cuts lineage between levels in the folder of spark.checkpoint.dir, which all executors share; one machine may do without."""
     sc = df.sparkSession.sparkContext
-    folder = sc.getCheckpointDir() or df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        import tempfile
-
-        folder = tempfile.mkdtemp(prefix="waypath-ckpt-")
     if sc.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="waypath-ckpt-")
         sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    return _sized_anew(df.checkpoint(eager=True))
+
+
+def _sized_anew(df: DataFrame) -> DataFrame:
+    """The same rows without the size that the optimiser derived for them: it multiplies sizes join by join, and from level
+    to level of a loop that product would grow to numbers of millions of digits. The size counts as unknown instead."""
+    spark = df.sparkSession
+    rows = spark._jsparkSession.internalCreateDataFrame(df._jdf.queryExecution().toRdd(), df._jdf.schema(), False)
+    return DataFrame(rows, spark)
 
 
 def roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -36,7 +47,7 @@ def bounded_paths(seeds: DataFrame, edges: DataFrame, success: DataFrame, max_de
 
     Returns every path that ended: family, nodes, edges, guards, state. witness: its last edge has outcome success,
     leaves an operation and reaches a success node; depth: longer than max_depth; visit: a node would be visited more
-    than max_visits times; dead: nothing follows. live paths went on and are in `enqueued` only.
+    than max_visits times. Paths that go on, or that nothing follows, are not returned.
     Error and cancel edges are not followed; a navigation-only edge does not re-enter a visited node; guards that
     contradict one another on one path end the path silently.
     """
@@ -85,31 +96,42 @@ def truncations(paths: DataFrame) -> DataFrame:
     )
 
 
-def closure(seeds: DataFrame, edges: DataFrame, max_levels: int = 64) -> DataFrame:
-    """(origin, node): everything reachable over edges (src, dst), each pair once."""
+def closure(seeds: DataFrame, edges: DataFrame) -> DataFrame:
+    """(origin, node): everything reachable from a seed over edges (src, dst), each pair once.
+
+    One hop a level while few levels follow; the edges that new nodes can take double in length every level, so a chain
+    of n edges needs about 2 * log2(n) levels.
+    """
     seen = _settled(seeds.select("origin", "node").distinct())
-    frontier = seen
-    for _ in range(max_levels):
-        new = frontier.join(edges, F.col("node") == F.col("src")).select("origin", F.col("dst").alias("node")).distinct().join(seen, ["origin", "node"], "left_anti")
-        frontier = _settled(new)
-        if frontier.isEmpty():
-            break
-        seen = _settled(seen.unionByName(frontier))
-    return seen
+    jumps = _settled(edges.select("src", "dst").where("src <> dst").distinct())
+    while True:
+        reached = seen.join(jumps, F.col("node") == F.col("src")).select("origin", F.col("dst").alias("node"))
+        new = _settled(reached.distinct().join(seen, ["origin", "node"], "left_anti"))
+        if new.isEmpty():
+            return seen
+        seen = _settled(seen.unionByName(new))
+        # only what some origin has reached can be gone on from
+        onward = jumps.join(seen.select(F.col("node").alias("src")).distinct(), "src", "left_semi")
+        longer = onward.select("src", F.col("dst").alias("mid")).join(jumps.withColumnRenamed("src", "mid"), "mid").where("src <> dst").select("src", "dst")
+        jumps = _settled(jumps.unionByName(longer).distinct())
 
 
 def neighbourhood(seeds: DataFrame, edges: DataFrame, hops: int = 2, limit: int = 80) -> DataFrame:
-    """(origin, node, hop) around each origin, edges taken both ways, the nearest and smallest `limit` nodes each."""
+    """(origin, node, hop) around each origin, edges taken both ways: level by level the smallest nodes, `limit` in all.
+
+    The limit holds at each level before the next is reached, so a hub's neighbours are never all expanded.
+    """
     from waypath.operators.joins import top_of_each
 
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    found = seeds.select("origin", "node", F.lit(0).alias("hop"))
-    last = found
+    both = _settled(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
+    found = _settled(seeds.select("origin", "node", F.lit(0).alias("hop")).distinct())
     for h in range(1, hops + 1):
-        last = last.join(both, F.col("node") == F.col("src")).select("origin", F.col("dst").alias("node"), F.lit(h).alias("hop")).distinct()
-        found = found.unionByName(last)
-    nearest = found.groupBy("origin", "node").agg(F.min("hop").alias("hop"))
-    return top_of_each(nearest, ["origin"], [F.col("hop"), F.col("node")], limit).drop("rank")
+        last = found.where(F.col("hop") == h - 1)
+        step = last.join(both, F.col("node") == F.col("src")).select("origin", F.col("dst").alias("node")).distinct().join(found, ["origin", "node"], "left_anti")
+        room = found.groupBy("origin").agg((F.lit(limit) - F.count("*")).alias("room"))
+        kept = top_of_each(step, ["origin"], [F.col("node")], limit).join(room, "origin").where("rank <= room")
+        found = _settled(found.unionByName(kept.select("origin", "node", F.lit(h).alias("hop"))))
+    return found
 
 
 def guard(path: Column, value: Column) -> Column:

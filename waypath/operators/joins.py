@@ -47,14 +47,29 @@ def first_match(left: DataFrame, rules: DataFrame, condition: Column, left_id: s
 
 
 def template_join(routes: DataFrame, templates: DataFrame, route: str, template: str, ordinal: str) -> DataFrame:
-    """Routes to the first template that equals theirs or, failing that, matches by pattern of equally many segments."""
+    """Routes to the first template that equals theirs or, failing that, whose parameters stand for theirs.
+
+    A route's segments are looked up under every mask of parameters that a template of as many segments has: an equality
+    join, however many templates there are. The few templates whose parameters are parts of segments match by pattern.
+    """
     from waypath.functions.ids import normal_template, template_pattern
 
-    r = routes.withColumn("__route", normal_template(F.col(route))).withColumn("__depth", F.size(F.split("__route", "/")))
     t = templates.select(normal_template(F.col(template)).alias("__template"), F.col(ordinal)).groupBy("__template").agg(F.min(ordinal).alias(ordinal))
-    t = t.withColumn("__depth", F.size(F.split("__template", "/")))
-    distinct = r.select("__route", "__depth").distinct()
-    hit = distinct.join(t, "__depth").where((F.col("__route") == F.col("__template")) | F.rlike(F.col("__route"), template_pattern(F.col("__template"))))
+    parts = F.split("__template", "/")
+    t = t.withColumn("__depth", F.size(parts)).withColumn("__whole", F.forall(parts, lambda s: (s == "{param}") | ~s.contains("{param}")))
+    # the places of parameters, as a comma-joined list; routes are masked by the lists that templates have
+    places = F.array_join(F.filter(F.transform(parts, lambda s, i: F.when(s == "{param}", i)), lambda i: i.isNotNull()), ",")
+    whole = t.where("__whole").withColumn("__mask", places)
+    masks = whole.select("__depth", "__mask").distinct()
+    r = routes.withColumn("__route", normal_template(F.col(route)))
+    distinct = r.select("__route").distinct().withColumn("__depth", F.size(F.split("__route", "/")))
+    masked = distinct.join(masks, "__depth").withColumn("__at", F.split("__mask", ","))
+    hidden = F.transform(F.split("__route", "/"), lambda s, i: F.when(F.array_contains("__at", i.cast("string")) & (s != ""), "{param}").otherwise(s))
+    looked = masked.select("__route", F.array_join(hidden, "/").alias("__template"), "__mask")
+    by_mask = looked.join(whole.select("__template", "__mask", ordinal), ["__template", "__mask"]).select("__route", "__template", ordinal)
+    odd = t.where("NOT __whole").select("__template", "__depth", ordinal)
+    by_pattern = distinct.join(odd, "__depth").where(F.rlike(F.col("__route"), template_pattern(F.col("__template")))).select("__route", "__template", ordinal)
+    hit = by_mask.unionByName(by_pattern)
     best = hit.groupBy("__route").agg(F.min_by("__template", F.struct((F.col("__route") != F.col("__template")).cast("int"), F.col(ordinal))).alias("matched"))
     return r.join(best, "__route", "left").select(*routes.columns, "matched")
 

@@ -460,16 +460,27 @@ def predicate_parse(spark, d):
     return coverage.count_by(P.solve(P.literals(table(spark, d, "part").select("p_partkey", expr.alias("e")), "p_partkey", "e")), "status")
 
 
+_WORDS = "'" + "', '".join(C.SENSITIVE_WORDS) + "'"
+_NAMES = "'" + "', '".join(C.SENSITIVE_NAMES) + "'"
+
+
 @query(
-    """SELECT field_class, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(w, '^(password|passwd|passcode|secret|token|otp|pin|cvv|cvc|credential)$') THEN 'secret-reference' WHEN regexp_matches(w, '([a-z]|^)id$|number$|reference$') THEN 'existing-entity' ELSE 'generated' END AS field_class
-FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents)) GROUP BY field_class"""
+    rf"""WITH f AS (SELECT p_partkey, p_name, p_type, p_size, 'form.' || replace(p_name, ' ', '') || CASE p_partkey % 12 WHEN 0 THEN 'Id' WHEN 1 THEN 'Code' WHEN 2 THEN 'Password' WHEN 3 THEN '.apiKey' WHEN 4 THEN '.accountNumber' WHEN 5 THEN '.iban' WHEN 6 THEN 'Ref' WHEN 7 THEN '.pin' WHEN 8 THEN '.spinner' ELSE 'Text' END AS path,
+CASE p_partkey % 7 WHEN 0 THEN 'combobox' WHEN 1 THEN 'token-field' ELSE 'textbox' END AS control FROM part),
+s AS (SELECT p_partkey, bool_or(list_has_any(w, [{_WORDS}]) OR array_to_string(w, '') IN ({_NAMES})) AS secret FROM (SELECT p_partkey, list_filter(regexp_split_to_array(lower(regexp_replace(x, '([a-z0-9])([A-Z])', '\1 \2', 'g')), '[^a-z0-9]+'), lambda y: y <> '') AS w
+  FROM (SELECT p_partkey, unnest(list_concat(string_split(path, '.'), [control])) AS x FROM f)) GROUP BY p_partkey),
+k AS (SELECT CASE WHEN secret THEN 'secret-reference' WHEN regexp_matches(split_part(path, '.', -1), '{C.ENTITY_LEAF}') THEN 'existing-entity' WHEN p_size > 45 OR regexp_matches(path, '(?i)code$') OR control = 'combobox' THEN 'runtime-option' WHEN p_size < 10 THEN 'flow-literal' ELSE 'synthetic-constrained' END AS field_class FROM f JOIN s USING (p_partkey))
+SELECT field_class, CASE field_class WHEN 'secret-reference' THEN 'corporate-secret-store' WHEN 'existing-entity' THEN 'approved-fixture,read-only-lookup,test-builder,manual-binding' WHEN 'runtime-option' THEN 'runtime-option-provider' WHEN 'flow-literal' THEN 'path-assignment' ELSE 'constraint-generator' END AS strategies, count(*) AS n FROM k GROUP BY field_class"""
 )
 def field_classification(spark, d):
-    words = table(spark, d, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("w")).distinct()
-    none = F.array().cast("array<string>")
-    secret = F.col("w").isin(*C.SENSITIVE_WORDS)
-    kind = F.when(secret, "secret-reference").when(C.field_class(F.col("w"), none, F.lit(False), F.lit(False)) == "secret-reference", "generated").otherwise(C.field_class(F.col("w"), none, F.lit(False), F.lit(False)))
-    return coverage.count_by(words.select(kind.alias("field_class")), "field_class")
+    k, name = F.col("p_partkey") % 12, F.regexp_replace("p_name", " ", "")
+    ends = ("Id", "Code", "Password", ".apiKey", ".accountNumber", ".iban", "Ref", ".pin", ".spinner")
+    end = F.lit("Text")
+    for i, x in enumerate(ends):
+        end = F.when(k == i, x).otherwise(end)
+    control = F.when(F.col("p_partkey") % 7 == 0, "combobox").when(F.col("p_partkey") % 7 == 1, "token-field").otherwise("textbox")
+    kind = C.field_class(F.concat(F.lit("form."), name, end), control, F.col("p_size") > 45, F.col("p_size") < 10)
+    return coverage.count_by(table(spark, d, "part").select(kind.alias("field_class")).withColumn("strategies", C.strategies(F.col("field_class"))), "field_class", "strategies")
 
 
 @query(
@@ -532,10 +543,11 @@ def reachable_pages(spark, d):
 
 
 @query(
-    """WITH e AS (SELECT c_custkey AS src, c_custkey // 3 AS dst FROM customer), b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
-s AS (SELECT DISTINCT src AS origin FROM e), h1 AS (SELECT DISTINCT origin, dst AS node FROM s JOIN b ON src = origin), h2 AS (SELECT DISTINCT origin, dst AS node FROM h1 JOIN b ON src = node),
-a AS (SELECT origin, origin AS node, 0 AS hop FROM s UNION ALL SELECT *, 1 FROM h1 UNION ALL SELECT *, 2 FROM h2), m AS (SELECT origin, node, min(hop) AS hop FROM a GROUP BY ALL)
-SELECT origin, node, hop FROM (SELECT *, row_number() OVER (PARTITION BY origin ORDER BY hop, node) AS k FROM m) WHERE k <= 80"""
+    """WITH e AS (SELECT c_custkey AS src, c_custkey // 3 AS dst FROM customer), b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), s AS (SELECT DISTINCT src AS origin FROM e),
+h0 AS (SELECT origin, origin AS node FROM s), h1 AS (SELECT * FROM (SELECT origin, dst AS node, row_number() OVER (PARTITION BY origin ORDER BY dst) AS k FROM (SELECT DISTINCT origin, dst FROM h0 JOIN b ON src = node WHERE dst <> origin)) WHERE k <= 79),
+n1 AS (SELECT origin, count(*) AS n FROM h1 GROUP BY origin),
+h2 AS (SELECT origin, node FROM (SELECT origin, dst AS node, row_number() OVER (PARTITION BY origin ORDER BY dst) AS k FROM (SELECT DISTINCT h1.origin, dst FROM h1 JOIN b ON src = h1.node WHERE dst <> h1.origin AND NOT EXISTS (SELECT 1 FROM h1 x WHERE x.origin = h1.origin AND x.node = dst))) JOIN n1 USING (origin) WHERE k <= 79 - n)
+SELECT origin, node, 0 AS hop FROM h0 UNION ALL SELECT origin, node, 1 FROM h1 UNION ALL SELECT origin, node, 2 FROM h2"""
 )
 def k_hop_neighborhood(spark, d):
     e = tree_of_customers(spark, d, 3)

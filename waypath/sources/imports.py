@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: A kind that contains the text on the left counts as the one on the right; the first that fits decides.
-NODE_KINDS = (("endpoint", "endpoint"), ("route", "route"), ("page", "page"), ("component", "page"), ("class", "type"), ("function", "handler"), ("method", "handler"), ("field", "field"), ("concept", "concept"))
-EDGE_KINDS = (("call", "calls"), ("import", "depends-on"), ("contain", "contains"), ("navig", "navigates"), ("trigger", "triggers"), ("refer", "mentions"))
+# A kind that contains the text on the left counts as the one on the right; the first that fits decides.
+NODE_KINDS = (
+    ("file", "source-file"), ("route", "route"), ("component", "component"), ("class", "component"), ("function", "component"), ("endpoint", "java-endpoint"),
+    ("controller", "java-endpoint"), ("permission", "permission"), ("authority", "permission"),
+)
+OTHER_NODE = "concept"
+EDGE_KINDS = (("call", "calls"), ("render", "renders"), ("contain", "contains"), ("request", "requests"), ("valid", "validates"), ("guard", "requires"), ("require", "requires"))
+OTHER_EDGE = "references"
 
 
 def kind_of(text: Column, table: tuple, other: str) -> Column:
@@ -31,10 +36,10 @@ def first_of(m: str, *names: str) -> Column:
 def import_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Nodes (id, label, kind) and edges (src, dst, kind); edges of unknown ends and nodes without id are left out."""
     n = graph_items(spark, path, ("nodes", "vertices", "entities"))
-    nodes = n.select(first_of("m", "id", "key", "name").alias("id"), first_of("m", "label", "name", "id").alias("label"), kind_of(F.coalesce(first_of("m", "kind", "type"), F.lit("")), NODE_KINDS, "external").alias("kind"))
+    nodes = n.select(first_of("m", "id", "key", "name").alias("id"), first_of("m", "label", "name", "id").alias("label"), kind_of(F.coalesce(first_of("m", "kind", "type"), F.lit("")), NODE_KINDS, OTHER_NODE).alias("kind"))
     nodes = nodes.where("id IS NOT NULL").dropDuplicates(["id", "label", "kind"])
     e = graph_items(spark, path, ("edges", "links", "relationships"))
-    edges = e.select(first_of("m", "source", "from", "src").alias("src"), first_of("m", "target", "to", "dst").alias("dst"), kind_of(F.coalesce(first_of("m", "kind", "type", "relation"), F.lit("")), EDGE_KINDS, "mentions").alias("kind"))
+    edges = e.select(first_of("m", "source", "from", "src").alias("src"), first_of("m", "target", "to", "dst").alias("dst"), kind_of(F.coalesce(first_of("m", "kind", "type", "relation"), F.lit("")), EDGE_KINDS, OTHER_EDGE).alias("kind"))
     known = nodes.select("id").distinct()
     edges = edges.join(known.withColumnRenamed("id", "src"), "src", "left_semi").join(known.withColumnRenamed("id", "dst"), "dst", "left_semi")
     return nodes, edges.select("src", "dst", "kind")
