@@ -285,12 +285,15 @@ def _prefixes(table: pa.Table, told: pa.Table, shingle: int, buckets: int, simil
         length = n - int(_least_shared(n, similarity)) + 1
         if n and alone < length:
             h = s.hashes[i]
+            odd = np.packbits(np.bincount((h >> np.uint64(48)).astype(np.int64) % (64 * len(PARITY)), minlength=64 * len(PARITY)) & 1).view(np.int64)
             outline = np.minimum(np.bincount((h & np.uint64(0xFFFFFFFF)) % np.uint64(OUTLINE), minlength=OUTLINE), 65535).astype("<u2")
-            out.append((int(s.cls[i]), n, alone, key[e - n + alone : e - n + length].astype(np.int64), np.unique(h.astype(np.uint32)).tobytes(), outline.tobytes()))
-    return pa.table([pa.array(v, f.type) for v, f in zip(zip(*out) if out else [[]] * 6, PREFIXES)], schema=PREFIXES)
+            out.append((int(s.cls[i]), n, alone, key[e - n + alone : e - n + length].astype(np.int64), np.unique(h.astype(np.uint32)).tobytes(), outline.tobytes(), *odd.tolist()))
+    return pa.table([pa.array(v, f.type) for v, f in zip(zip(*out) if out else [[]] * len(PREFIXES), PREFIXES)], schema=PREFIXES)
 
 
-PREFIXES = pa.schema([("cls", pa.int64()), ("n", pa.int64()), ("alone", pa.int64()), ("tokens", pa.list_(pa.int64())), ("shingles", pa.binary()), ("outline", pa.binary())])
+#: 256 bits, each odd if an odd number of a text's shingles fall on it: two texts differ in as many shingles as in bits at least.
+PARITY = ("odd0", "odd1", "odd2", "odd3")
+PREFIXES = pa.schema([("cls", pa.int64()), ("n", pa.int64()), ("alone", pa.int64()), ("tokens", pa.list_(pa.int64())), ("shingles", pa.binary()), ("outline", pa.binary()), *[(c, pa.int64()) for c in PARITY]])
 
 
 def _chosen(pairs: DataFrame, test: Callable[[bytes, bytes], bool]) -> DataFrame:
@@ -354,11 +357,11 @@ def _to_heads(lists: DataFrame, similarity: float) -> DataFrame:
 
 
 def _cross(batches: Iterator[pa.RecordBatch], similarity: float, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Batches (group, cross, part, cls, root, n, at) sorted by group. Yields pairs (a, b) of a group's texts of two roots
-    that can be of the similarity; in groups of two blocks (cross), only those of different ones."""
+    """Batches (group, cross, part, cls, root, n, at, parity bits) sorted by group. Yields pairs (a, b) of a group's texts of
+    two roots that can be of the similarity; in groups of two blocks (cross), only those of different ones."""
 
     def pairs(c: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        key, cross, part, cls, root, n, at = c
+        key, cross, part, cls, root, n, at, *odd = c
         edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
         end = np.repeat(edge[1:], np.diff(edge))
         rest, off, held, count = np.arange(len(key)), 0, [], 0
@@ -369,7 +372,10 @@ def _cross(batches: Iterator[pa.RecordBatch], similarity: float, most: int = 1 <
                 j = rest + off
                 ok = (root[rest] != root[j]) & ((cross[rest] == 0) | (part[rest] != part[j]))
                 ok &= np.minimum(n[rest] - at[rest], n[j] - at[j]) >= similarity / (1 + similarity) * (n[rest] + n[j]) - 1e-6
-                a, b = cls[rest[ok]], cls[j[ok]]
+                i, j = rest[ok], j[ok]
+                differ = sum(np.bitwise_count((x[i] ^ x[j]).view(np.uint64)).astype(np.int64) for x in odd)
+                ok = differ <= ((1 - similarity) / (1 + similarity) + 1e-3) * (n[i] + n[j])
+                a, b = cls[i[ok]], cls[j[ok]]
                 held.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
                 count += len(a)
             if count and (count >= most or not len(rest)):
@@ -379,7 +385,7 @@ def _cross(batches: Iterator[pa.RecordBatch], similarity: float, most: int = 1 <
             if not len(rest):
                 return
 
-    held = [np.zeros(0, np.int64)] * 7
+    held = [np.zeros(0, np.int64)] * (7 + len(PARITY))
     for batch in _grown(batches):
         held = [np.concatenate([h, batch.column(i).to_numpy()]) for i, h in enumerate(held)]
         cut = int(np.flatnonzero(held[0] != held[0][-1])[-1]) + 1 if (held[0] != held[0][-1]).any() else 0  # the last group may go on
@@ -396,7 +402,7 @@ def _all_pairs(lists: DataFrame, similarity: float, block: int) -> DataFrame:
     met = part.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     low, high = F.least("part", "other"), F.greatest("part", "other")
     # a group is told by a hash; two of one hash only give candidates more
-    dealt = met.select(F.xxhash64("token", low, high).alias("group"), (low != high).cast("long").alias("cross"), "part", "cls", "root", "n", "at")
+    dealt = met.select(F.xxhash64("token", low, high).alias("group"), (low != high).cast("long").alias("cross"), "part", "cls", "root", "n", "at", *PARITY)
     return dealt.repartition("group").sortWithinPartitions("group", "cls").mapInArrow(lambda b: _cross(b, similarity), "a long, b long").distinct()
 
 
@@ -410,8 +416,9 @@ def similar_groups(
     similarity or more link, and links merge into groups. All such pairs meet (prefix filtering): with the shingles of
     every text in one order, shingles of a single text first, the first one that two such texts share is among the first
     `size - least + 1` of both, where least is what a text shares at least. So each class is listed under those of its
-    first shingles that others have, and the texts of one list are compared: first with the list's head, twice, and then,
-    where the list is not one component yet, all pairs of different components, block by block.
+    first shingles that others have, and the texts of one list are compared: first with the list's head (the text with the
+    fewest shingles of its own, then one by lot), and then, where the list is not one component yet, all pairs of different
+    components, block by block.
     """
     d = docs.select(ordered_id(F.col(f"`{id_col}`")).alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     marked = checkpoint(_classes(d))
@@ -427,10 +434,10 @@ def similar_groups(
         return _prefixes(table, told, shingle, buckets, similarity) if len(table) else PREFIXES.empty_table()
 
     known = repeated(by_shard.applyInArrow(send_keys, KEYS), buckets, many=common)
-    found = by_shard.cogroup(known.groupBy("shard")).applyInArrow(send_prefixes, "cls long, n long, alone long, tokens array<long>, shingles binary, outline binary")
+    found = by_shard.cogroup(known.groupBy("shard")).applyInArrow(send_prefixes, "cls long, n long, alone long, tokens array<long>, shingles binary, outline binary, " + ", ".join(f"{c} long" for c in PARITY))
     sets = checkpoint(found)
-    listed = sets.select("cls", "n", "alone", F.posexplode("tokens").alias("at", "token")).select("token", "cls", "n", (F.col("alone") + F.col("at")).alias("at"))
-    lists = checkpoint(_with_heads(listed, None, F.col("cls")))
+    listed = sets.select("cls", "n", "alone", *PARITY, F.posexplode("tokens").alias("at", "token")).select("token", "cls", "n", "alone", (F.col("alone") + F.col("at")).alias("at"), *PARITY)
+    lists = checkpoint(_with_heads(listed, None, F.struct("alone", "cls")))
     links = _verified_pairs(_to_heads(lists, similarity), sets, similarity)
     lists = checkpoint(_with_heads(lists.drop("root", "head", "m"), links, F.xxhash64("token", "cls")))
     links = checkpoint(links.unionByName(_verified_pairs(_to_heads(lists, similarity), sets, similarity)))
