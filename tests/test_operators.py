@@ -151,9 +151,13 @@ def test_constraints(spark):
         assert one(spark, C.field_class(F.lit(name), F.lit(None).cast("string"), F.lit(None).cast("boolean"), F.lit(None).cast("boolean"))) == kind, name
     assert one(spark, C.strategies(F.lit("secret-reference"))) == "corporate-secret-store"
     issue = lambda *x: one(spark, C.modality_issue(*[F.lit(v).cast("string") for v in x]))
-    assert issue("secret-reference", "x", None, None, None) == "secret-as-value" and issue("flow-literal", "x", None, None, "y") == "unexpected-value"
-    assert issue("secret-reference", None, "vault://a/b", None, None) is None and issue("flow-literal", None, "vault://a", None, None) == "reference-for-plain-value"
-    assert issue("secret-reference", None, "plain", None, None) == "reference-not-approved" and issue("flow-literal", None, None, None, None) == "nothing-bound"
+    assert issue("secret-reference", "x", None) == "secret-reference-required" and issue("authenticated-identity", None, "vault://a/b") is None
+    assert issue("flow-literal", None, "vault://a") == "value-required" and issue("flow-literal", "x", None) is None
+    assert issue("secret-reference", None, "http://a") == "reference-not-approved" and issue("secret-reference", None, "plain") == "reference-not-approved"
+    arn = "arn:aws:secretsmanager:eu-west-1:123456789012:secret:x"
+    assert not one(spark, C.approved_reference(F.lit(arn), ["vault"])) and one(spark, C.approved_reference(F.lit(arn), ["vault"], True))
+    use = lambda *x: one(spark, C.usable(*map(F.lit, x)))
+    assert use("actor-session", False, False) and use("screen-state", True, False) and not use("field", True, False) and use("action", True, True)
 
 
 def test_steps(spark):

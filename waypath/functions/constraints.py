@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -140,32 +142,45 @@ def strategies(kind: Column) -> Column:
     return F.create_map(*pairs)[kind]
 
 
-def usable(status: Column, verified: Column, expires: Column, now: Column) -> Column:
-    """Whether a runtime binding may be used: bound, verified and not expired (null: never expires)."""
-    return F.coalesce((status == "bound") & verified & (expires.isNull() | (expires > now)), F.lit(False))
+def usable(kind: Column, unique: Column, actionable: Column) -> Column:
+    """Whether a runtime binding may be used: sessions always, screens if found once, others if found once and actionable."""
+    once = F.coalesce(unique, F.lit(False))
+    return F.when(kind == "actor-session", F.lit(True)).when(kind == "screen-state", once).otherwise(once & F.coalesce(actionable, F.lit(False)))
 
 
 #: Classes whose values are kept outside and only referred to.
 SECRET_CLASSES = ("secret-reference", "authenticated-identity")
-SECRET_REFERENCE = r"^[a-z][a-z0-9+.-]*://[^\s]+$"
+#: The form of the one kind of reference that is no URL, where a project allows it.
+ARN = r"(?i)^arn:(?:aws|aws-us-gov|aws-cn):secretsmanager:[a-z0-9-]+:\d{12}:secret:[^\s]+$"
+
 
+def approved_reference(ref: Column, schemes: Sequence[str], arns: bool = False) -> Column:
+    """Whether a secret is referred to by an approved scheme, or by an ARN, where these are allowed."""
+    ok = F.regexp_extract(ref, r"^([a-z][a-z0-9+.-]*)://", 1).isin(*schemes)
+    return (ok | F.rlike(ref, F.lit(ARN))) if arns else ok
 
-def modality_issue(kind: Column, value: Column, secret_ref: Column, resolver: Column, expected: Column) -> Column:
-    """The first rule that a binding breaks, null if none: one modality only, secrets by reference, expected values kept."""
-    given = F.lit(0)
-    for c in (value, secret_ref, resolver):
-        given = given + c.isNotNull().cast("int")
+
+def modality_issue(kind: Column, value: Column, secret_ref: Column, schemes: Sequence[str] = ("vault",), arns: bool = False) -> Column:
+    """Why a binding has the wrong form, null if it has not: secrets by an approved reference only, others by value only."""
     secret = kind.isin(*SECRET_CLASSES)
     return (
-        F.when(given == 0, "nothing-bound")
-        .when(given > 1, "several-modalities")
-        .when(secret & value.isNotNull(), "secret-as-value")
-        .when(~secret & secret_ref.isNotNull(), "reference-for-plain-value")
-        .when(secret_ref.isNotNull() & ~F.rlike(secret_ref, F.lit(SECRET_REFERENCE)), "reference-not-approved")
-        .when(value.isNotNull() & expected.isNotNull() & (value != expected), "unexpected-value")
+        F.when(secret & (secret_ref.isNull() | value.isNotNull()), "secret-reference-required")
+        .when(~secret & (value.isNull() | secret_ref.isNotNull()), "value-required")
+        .when(secret & ~approved_reference(secret_ref, schemes, arns), "reference-not-approved")
     )
 
 
+def binding_issue(kind: Column, value: Column, secret_ref: Column, resolver: Column, strategies_: Column, digest: Column, current: Column, expected: Column, **approved) -> Column:
+    """The first reason why a confirmed binding does not meet its requirement, null if it does: its form, the requirement's
+    digest, its strategies, and the value the flow asserts."""
+    return (
+        F.coalesce(
+            modality_issue(kind, value, secret_ref, **approved), F.when(~digest.eqNullSafe(current), "requirement-changed"), F.when(~F.coalesce(F.array_contains(strategies_, resolver), F.lit(False)), "strategy-not-allowed"),
+            F.when(value.isNotNull() & expected.isNotNull() & (value != expected), "unexpected-value"),
+        )
+    )
+
+
 def candidates(constraints: DataFrame, key: str) -> DataFrame:
     """(key, pos, value): values to try for a field, in order: its options, an address, booleans, its least number, then
     texts of its least length. Fields with an opaque or size constraint have none; keys are those of `constraints`."""
