@@ -2,8 +2,8 @@
 
 Texts are normalised (ASCII letters lower-cased, words of digits, ASCII letters and non-ASCII characters) byte by byte,
 so a normalised word maps to its place in the original text by position. The automaton's letters are words, numbered as
-the items name them; any other word is letter 0 and ends all matches. Windows are runs of `window` words of an item; an
-item with fewer words, but not none, is one window.
+the items name them; any other word ends all matches, so only runs of known words pass the automaton. Windows are runs
+of `window` words of an item; an item with fewer words, but not none, is one window.
 
 Defined cases: a null or wordless text has no words and no hits; a null or wordless item has no window; the windows of
 an item without an id count as hits, but it is not named among the items; items that share a window are all reported;
@@ -13,6 +13,7 @@ the results' names, which are replaced. Texts of any length are read whole.
 
 from __future__ import annotations
 
+import re
 import uuid
 from itertools import repeat
 
@@ -41,32 +42,43 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").translate(_FOLD).split()
 
 
+def _letter(n: int) -> str:
+    """The n-th letter, from 1; surrogates are none."""
+    return chr(n if n < 0xD800 else n + 0x800)
+
+
 class Leaks:
     """The automaton of some items' windows; each window carries its number of words and its items."""
 
     def __init__(self, items: list[tuple[str | None, str]], window: int = WINDOW):
-        self.number: dict[bytes, int] = {}
-        owners: dict[tuple, set] = {}
+        self.letter: dict[bytes, str] = {}
+        owners: dict[str, set] = {}
         for item, text in items:
-            w = [self.number.setdefault(x, len(self.number) + 1) for x in words_of(text)]
+            w = "".join(self.letter.setdefault(x, _letter(len(self.letter) + 1)) for x in words_of(text))
             for i in range(max(1, len(w) - window + 1) if w else 0):
-                owners.setdefault(tuple(w[i : i + window]), set()).add(item)
-        self.found = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+                owners.setdefault(w[i : i + window], set()).add(item)
+        self.found = ahocorasick.Automaton()
         for pattern, who in owners.items():
             self.found.add_word(pattern, (len(pattern), frozenset(who)))
         self.some = bool(owners)
         if self.some:
             self.found.make_automaton()
+            # matches lie in runs of known words that are as long as the shortest window
+            self.runs = re.compile(f"[^\0]{{{min(map(len, owners))},}}")
 
     def scan(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set]:
         """Hit windows as (first word, last word + 1), and their items."""
-        if not words or not self.some:
-            return [], set()
-        hits = list(self.found.iter(tuple(map(self.number.get, words, ZEROS))))
-        return [(e + 1 - n, e + 1) for e, (n, _) in hits], {i for _, (_, who) in hits for i in who if i is not None}
+        spans, who = [], set()
+        if self.some:
+            for run in self.runs.finditer("".join(map(self.letter.get, words, UNKNOWN))):
+                for end, (n, items) in self.found.iter(run[0]):
+                    end += run.start() + 1
+                    spans.append((end - n, end))
+                    who |= items
+        return spans, who - {None}
 
 
-ZEROS = repeat(0)
+UNKNOWN = repeat("\0")
 _KEPT: dict[str, Leaks] = {}
 
 
