@@ -61,10 +61,10 @@ def test_texts():
     assert java.code_only('x = "a//b"; // c\n/* d */ y') == "x =       ;     \n        y" or java.code_only('x = "a//b"; // c\n/* d */ y').split() == ["x", "=", ";", "y"]
     assert java.without_comments('"a//b" // c') == '"a//b"     '
     assert java.arguments("a, b(c, d), Map<K, V> e, \",\", ") == ["a", "b(c, d)", "Map<K, V> e", '","']
-    assert java.infer_entity("CreateOrderRequest", "XController", "/a") == "CreateOrder" or java.infer_entity("OrderCreateRequest", "XController", "/a") == "Order"
+    assert java.infer_entity("CreateOrderRequest", "XController", "/a") == "CreateOrder" and java.infer_entity("OrderCreateRequest", "XController", "/a") == "Order"
     assert java.infer_entity(None, "OrderController", "/a") == "Order" and java.infer_entity("Body", "Api", "/orders/{id}") == "orders"
     assert java.same_entity("OrderEntity", "orders") and not java.same_entity("Address", "Addres")
-    assert java.guard_text("Objects.isNull(request.getA()) || this.x.equals(Kind.B_C)") == "(request.a === null) || (x === Kind.B_C)" or "request.a" in java.guard_text("request.getA() == Kind.B")
+    assert java.guard_text("Objects.isNull(request.a) || this.x.equals('B')") == "(request.a === null) || (x === 'B')" and java.guard_text("request.getA() == Kind.B_C") == 'request.a == "B_C"'
 
 
 def test_calls(spark):

@@ -50,6 +50,31 @@ def url_path(url: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_extract(url, r"^[a-z]+://[^/?#]+([^?#]*)", 1), F.lit("")), F.lit("/"))
 
 
+def http_path(path: Column, base: Column) -> Column:
+    """A request's path: of an absolute URL its own; else below the client's base path (null for none), named once."""
+    plain = lambda c: F.regexp_replace(F.concat(F.lit("/"), F.regexp_replace(F.regexp_replace(c, r"[?#].*$", ""), r"\$\{([^}]+)\}", "{$1}")), "/+", "/")
+    own, top = plain(path), F.regexp_replace(plain(base), "/$", "")
+    absolute = F.rlike(path, F.lit("(?i)^https?://"))
+    under = base.isNull() | (top == "") | (own == top) | own.startswith(F.concat(top, F.lit("/")))
+    return F.when(absolute, plain(F.regexp_extract(path, r"(?i)^https?://[^/?#]+([^?#]*)", 1))).when(under, own).otherwise(F.concat(top, own))
+
+
+def infer_entity(request: Column, controller: Column, path: Column) -> Column:
+    """The request's type without its ending, else the controller's, else the last fixed segment of the path."""
+    r, c = F.regexp_replace(request, "(?:Create|Update|Submit|Joint|Personal)?Request$", ""), F.regexp_replace(controller, "Controller$", "")
+    fixed = F.filter(F.split(path, "/"), lambda s: (s != "") & ~s.contains("{"))
+    return F.when(r != request, F.coalesce(F.nullif(r, F.lit("")), request)).when(c != controller, c).otherwise(F.coalesce(F.get(fixed, F.size(fixed) - 1), F.lit("Entity")))
+
+
+def same_entity(a: Column, b: Column) -> Column:
+    return entity_stem(a) == entity_stem(b)
+
+
+def scalar_value(c: Column) -> Column:
+    """A text as JSON of the value it writes: null, a boolean, a number, or the text itself."""
+    return F.when(scalar_type(c) == "string", F.to_json(F.struct(c.alias("v")))).otherwise(F.concat(F.lit('{"v":'), F.coalesce(c, F.lit("null")), F.lit("}")))
+
+
 def join_route(parent: Column, child: Column) -> Column:
     """A child's route under its parent's; an absolute child stands alone."""
     both = F.regexp_replace(F.concat_ws("/", F.regexp_replace(parent, "/+$", ""), child), "/+", "/")

@@ -134,5 +134,32 @@ def neighbourhood(seeds: DataFrame, edges: DataFrame, hops: int = 2, limit: int
     return found
 
 
+def render_tree(roots: DataFrame, children: DataFrame, max_depth: int = 12, max_nodes: int = 5000) -> DataFrame:
+    """(root, node, path, guards, state): components that each root renders, with the guards on the way.
+
+    roots: root. children: parent, child, guard (null for none). state: rendered; cycle, where a component would render
+    itself again; depth, beyond max_depth; limit, beyond max_nodes of one root (the rows that stand for these are not gone
+    on from). The first max_nodes by level and path are kept.
+    """
+    from waypath.operators.joins import top_of_each
+
+    none = F.array().cast("array<string>")
+    e = _settled(children.select("parent", "child", "guard"))
+    front = _settled(roots.select("root", F.col("root").alias("node"), F.array("root").alias("path"), none.alias("guards"), F.lit("rendered").alias("state")))
+    out = front
+    for depth in range(1, max_depth + 2):
+        step = front.where("state = 'rendered'").join(e, F.col("node") == F.col("parent"))
+        guards = F.when(F.col("guard").isNull(), F.col("guards")).otherwise(F.array_append("guards", F.col("guard")))
+        state = F.when(F.array_contains("path", F.col("child")), "cycle").when(F.lit(depth > max_depth), "depth").otherwise("rendered")
+        step = step.select("root", F.col("child").alias("node"), F.array_append("path", F.col("child")).alias("path"), guards.alias("guards"), state.alias("state"))
+        room = out.where("state = 'rendered'").groupBy("root").agg((F.lit(max_nodes) - F.count("*")).alias("room"))
+        ranked = top_of_each(step, ["root"], [F.col("path"), F.array_join("guards", ",")], 1 << 30).join(room, "root")
+        front = _settled(ranked.withColumn("state", F.when((F.col("rank") > F.col("room")) & (F.col("state") == "rendered"), "limit").otherwise(F.col("state"))).select(out.columns))
+        if front.isEmpty():
+            break
+        out = out.unionByName(front)
+    return out
+
+
 def guard(path: Column, value: Column) -> Column:
     return F.concat_ws("=", path, value)

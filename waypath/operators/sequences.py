@@ -27,6 +27,19 @@ def transitions(steps: DataFrame, key: Sequence[str], order: Sequence[str], valu
     return steps.withColumn("next", F.lead(value).over(ordered(key, order)))
 
 
+def previous(steps: DataFrame, key: Sequence[str], order: Sequence[str], value: str, counts: Column) -> DataFrame:
+    """Each step with the value of the one right before it, where that one counts (an awaited call, say), else null."""
+    w = ordered(key, order)
+    return steps.withColumn("previous", F.when(F.lag(counts).over(w), F.lag(value).over(w)))
+
+
+def same_sequence(left: DataFrame, right: DataFrame, key: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
+    """Per key, whether both have the same values in the same order; keys of one side only have not."""
+    listed = lambda df, name: df.groupBy(*key).agg(F.transform(F.sort_array(F.collect_list(F.struct(*order, F.col(value).alias("v")))), lambda x: x["v"]).alias(name))
+    both = listed(left, "a").join(listed(right, "b"), list(key), "full")
+    return both.select(*key, F.coalesce(F.col("a") == F.col("b"), F.lit(False)).alias("same"))
+
+
 def revisits(steps: DataFrame, key: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
     """Steps whose value was seen before on the same key, with the number of earlier ones."""
     n = F.row_number().over(Window.partitionBy(*key, value).orderBy(*order)) - 1

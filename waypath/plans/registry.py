@@ -2,6 +2,7 @@
 
 import waypath.plans.contracts  # noqa: F401 registers its queries
 import waypath.plans.flows  # noqa: F401 registers its queries
+import waypath.plans.reviews  # noqa: F401 registers its queries
 import waypath.plans.traces  # noqa: F401 registers its queries
 from waypath.plans.queries import ORACLE_SQL, QUERIES
 

@@ -119,3 +119,42 @@ def handled_by(calls: DataFrame, ends: DataFrame) -> DataFrame:
     key = normal_template(F.col("template"))
     right = ends.select("method", key.alias("key"), F.col("path").alias("endpoint_path"), F.col("ordinal").alias("endpoint_ordinal"))
     return unique_join(calls.withColumn("key", key), right, ["method", "key"], ["endpoint_path", "endpoint_ordinal"])
+
+
+def page_choice(candidates: DataFrame) -> DataFrame:
+    """(file, component, rule) of each file's page components, or component null and rule 'unresolved'.
+
+    candidates: file, component, routed, exported. The first rule that gives any decides: routed ones; exported ones of a
+    page's name; the only exported one of a pages folder; the only one of a page's name; the only one of a pages folder.
+    Files without a sign of a page (folder or name) have none.
+    """
+    from pyspark.sql import Window
+
+    page_name, folder = F.rlike("component", F.lit("(?:Page|Screen|View)$")), F.rlike("file", F.lit("(?i)(?:^|/)pages?/"))
+    w = Window.partitionBy("file")
+    n = lambda c: F.count_if(c).over(w)
+    x = candidates.withColumns({
+        "routed_n": n(F.col("routed")), "exported_named": n(F.col("exported") & page_name), "exported_n": n(F.col("exported")), "named_n": n(page_name), "all_n": F.count("*").over(w),
+        "folder": folder, "named": page_name,
+    })
+    rule = (
+        F.when(F.col("routed_n") > 0, F.when(F.col("routed"), "routed")).when(~F.col("folder") & (F.col("named_n") == 0), F.lit(None))
+        .when(F.col("exported_named") > 0, F.when(F.col("exported") & F.col("named"), "exported-name")).when(F.col("folder") & (F.col("exported_n") == 1), F.when(F.col("exported"), "only-export"))
+        .when(F.col("named_n") == 1, F.when(F.col("named"), "only-name")).when(F.col("folder") & (F.col("all_n") == 1), F.lit("only-one")).otherwise(F.lit("unresolved"))
+    )
+    x = x.withColumn("rule", rule).where("rule IS NOT NULL")
+    return x.select("file", F.when(F.col("rule") != "unresolved", F.col("component")).alias("component"), "rule").distinct()
+
+
+def unresolved_children(uses: DataFrame, components: DataFrame, native: DataFrame) -> DataFrame:
+    """Components (page, child) that a page uses and that are neither declared (component) nor native (child)."""
+    known = components.select(F.col("component").alias("child")).unionByName(native.select("child")).distinct()
+    return uses.select("page", "child").distinct().join(known, "child", "left_anti").select("page", "child")
+
+
+def with_constants(texts: DataFrame, column: str, constants: DataFrame) -> DataFrame:
+    """texts with `value`: a quoted literal's content, or that of the only constant (name, value) of that name; null else."""
+    one = constants.groupBy(F.col("name").alias("__name")).agg(F.count_distinct("value").alias("__n"), F.min("value").alias("__value")).where("__n = 1").drop("__n")
+    x = texts.join(one, F.col(column) == F.col("__name"), "left")
+    quoted = F.nullif(F.regexp_extract(column, r"""^(["'`])([^"'`$]*)\1$""", 2), F.lit(""))
+    return x.withColumn("value", F.coalesce(quoted, "__value")).drop("__name", "__value")
