@@ -10,8 +10,8 @@ padded, at the cost of at most log2(window) short sequences a task.
 
 Defined cases: a null text counts as empty and still has its closing id; a null id is packed like any other; repeated
 documents are packed each; ties between levels go to the fullest; an empty table gives no rows; other columns are
-ignored. Very long texts are held as ids once; a text with a run of over LONG_RUN signs of one class goes to the named
-library, as the faster one recurses on such runs.
+ignored. Very long texts are held as ids once; a text with a run of LONG_RUN signs of white space or more goes to the
+named library, as the faster one recurses on such runs.
 """
 
 from __future__ import annotations
@@ -35,11 +35,11 @@ from waypath.llm.common import bounded_batches, documents, give_back
 WINDOW = 1024
 #: Fill levels, of which a sequence has one.
 LEVELS = 32
-#: Signs of one class (letters, digits, white space or others) on end, beyond which the faster library is not used.
+#: White space on end, beyond which the faster library, which recurses on it, is not used.
 LONG_RUN = 4096
 #: Texts of these characters get the same ids from both libraries (tested); others go to the slower one.
 _COMMON = re.compile("[^\x00-ɏ]")
-_LONG_RUN = re.compile(rf"\s{{{LONG_RUN}}}|\d{{{LONG_RUN}}}|[^\W\d]{{{LONG_RUN}}}|[^\w\s]{{{LONG_RUN}}}")
+_LONG_RUN = re.compile(rf"\s{{{LONG_RUN}}}")
 _SPECIAL = "<|endoftext|>"
 _ENCODERS: dict[tuple[str, str], Callable[[str], list[int]]] = {}
 
