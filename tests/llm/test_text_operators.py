@@ -355,6 +355,10 @@ def test_pii(spark):
         assert [x for x in got[i] if x[0] in pii.BASE] == [(pii.BASE[k], a, b) for a, k, b in want]
     assert [PII[5][a:b] for k, a, b in got[5] if k in ("iban", "ssn")] == ["DE89 3704 0044 0532 0130 00", "123-45-6789"]
     assert [k for k, _, _ in got[6]] == ["login"]
+    more = lambda t: [(k, t[a:b]) for a, n, b in pii.find_spans(t, pii.anchors()) if (k := pii.KINDS[n]) not in pii.BASE]
+    assert more("IBAN number is: DE89370400440532013000 BIC COBADEFF") == [("iban", "DE89370400440532013000")]
+    assert more("iban DE893704004405320130001") == more("iban XX89370400440532013000") == more("iban DE") == more("iban") == []
+    assert more("My SSN is 123-45-6789.") == [("ssn", "123-45-6789")] and more("ssn island 123-45-6789") == []
 
 
 def test_packing(docs, rows, none):

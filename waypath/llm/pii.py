@@ -6,10 +6,12 @@ then expand each anchor to its boundaries and validate it. Base kinds equal left
   ip     [0-9]+(\\.[0-9]+)(\\.[0-9]+)(\\.[0-9]+)          parts at most 255
   card   [0-9]([\\x20-]?[0-9])+                           14 to 19 digits passing Luhn
   phone  \\+[0-9][\\x20().0-9-]+[0-9]                     10 to 15 digits
-of which failing ones are dropped without a retry. Beyond them: `iban` (after a cue, mod-97 checked), `ssn` (after a
-cue, by its number ranges) and `login` (user information in a URL). Offsets count code points, end exclusive.
+of which failing ones are dropped without a retry. Beyond them: `iban` (after a cue, of its country's length, mod-97
+checked), `ssn` (after a cue, by its number ranges) and `login` (user information in a URL). A few words may stand between
+a cue and its value. Offsets count code points, end exclusive.
 
-Defined cases: a null or empty text has no spans; rows are independent, so ties and repeated rows do not matter.
+Defined cases: a null or empty text has no spans; rows are independent, so ties and repeated rows do not matter; an empty
+table gives no rows; other columns stay, but for `pii`, which is replaced. Texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -33,9 +35,18 @@ _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_IBAN = re.compile(r"[\s:#=]{0,4}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})")
-_SSN = re.compile(r"[\s:#=]{0,4}([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])")
-_LOGIN = re.compile(r"://([^\s/@:?#\"'<>]{1,256}:[^\s/@?#\"'<>]{1,256})@")
+#: What may stand between a cue and its value: signs, and up to three short words.
+_GAP = r"[\s:#=]{0,4}(?:(?:is|was|number|no\.?|nr\.?|num\.?|code|ist|est|es|num[eé]ro|número)(?![A-Za-z])[\s:#=]{0,4}){0,3}"
+_IBAN = re.compile(_GAP + r"([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9])*)")
+_SSN = re.compile(_GAP + r"([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])")
+# An account number's length by country.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29,
+    "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20,
+    "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25,
+    "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SC": 31, "SD": 18, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
+_LOGIN = re.compile(r"://([^\s/@:?#\"'<>]{1,4096}:[^\s/@?#\"'<>]{1,4096})@")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 
 
@@ -64,9 +75,15 @@ def _octet(part: str) -> bool:
     return len(part) <= 3 and int(part or "0") <= 255
 
 
-def _iban(value: str) -> bool:
-    value = value.replace(" ", "")
-    return 15 <= len(value) <= 34 and int("".join(str(int(c, 36)) for c in value[4:] + value[:4])) % 97 == 1
+def _iban(run: str) -> int:
+    """Length of the account number that begins a run of characters and single blanks, 0 if none does: its country tells
+    how many characters belong to it; the check digits hold modulo 97."""
+    at, value = 0, ""
+    while at < len(run) and len(value) < IBAN_LENGTHS.get(run[:2], 0):
+        value += run[at].strip()
+        at += 1
+    whole = len(value) == IBAN_LENGTHS.get(run[:2]) and not run[at : at + 1].strip()
+    return at if whole and int("".join(str(int(c, 36)) for c in value[4:] + value[:4])) % 97 == 1 else 0
 
 
 def _ssn(value: str) -> bool:
@@ -106,8 +123,8 @@ def find_spans(text: str | None, automaton: ahocorasick.Automaton) -> list[tuple
             if m := _LOGIN.match(text, at - 2):
                 out.append((m.start(1), 6, m.end(1)))
         elif what == "iban":
-            if (m := _IBAN.match(text, at + 1)) and _iban(m[1]):
-                out.append((m.start(1), 4, m.end(1)))
+            if (m := _IBAN.match(text, at + 1)) and (n := _iban(m[1])):
+                out.append((m.start(1), 4, m.start(1) + n))
         elif (m := _SSN.match(text, at + 1)) and _ssn(m[1]):
             out.append((m.start(1), 5, m.end(1)))
     return sorted(out)
