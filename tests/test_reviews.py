@@ -38,6 +38,28 @@ def test_elements():
     assert jsx.payload_shape("{ ...rest, a: 1 }") == ("partial", [("a", "literal", "1")]) and jsx.payload_shape("form") == ("unknown", []) and jsx.payload_shape(None) == ("unknown", [])
 
 
+def test_functions():
+    text = """
+const api = axios.create({ timeout: 3, baseURL: '/v1' });
+export const send = async (form: Form, { a }) => {
+  try { await api.post('/x', { form }); } catch (e) { show(e); }
+};
+function plain() { if (ready) { go(1, [2, 3]); } }
+export default async function create(input) {
+  const r = await createOrder(input);
+  navigate(`/orders/${r.id}`)
+  later();
+}
+<select name="kind"><option value="A">a</option><option>B</option></select>
+"""
+    f = {x.name: x for x in jsx.functions(text)}
+    assert sorted(f) == ["create", "plain", "send"] and f["send"].exported and not f["plain"].exported
+    assert f["plain"].calls == [("go", ["1", "[2, 3]"], False, ["ready"])] and f["plain"].completes and not f["send"].completes
+    assert f["create"].after == [("createOrder", "/orders/{r.id}")] and f["create"].parameters == ["input"] and [c[0] for c in f["create"].calls] == ["createOrder", "navigate", "later"]
+    assert ("show", ["e"], False, ["control-flow:4"]) in f["send"].calls
+    assert jsx.client_bases(text) == [("api", "/v1")] and jsx.options(text) == [("kind", ["A", "B"])]
+
+
 def test_pages_and_children(spark):
     rows = [("a.tsx", "X", True, False), ("a.tsx", "Y", False, True), ("b.tsx", "OnePage", False, True), ("b.tsx", "Two", False, True), ("pages/c.tsx", "C", False, True), ("pages/c.tsx", "D", False, False), ("e.tsx", "ViewOnly", False, True), ("f.tsx", "F", False, True), ("pages/g.tsx", "G", False, False), ("pages/h.tsx", "H", False, False), ("pages/h.tsx", "I", False, False), ("k.tsx", "KView", False, False)]
     got = {(r.file, r.component, r.rule) for r in extract.page_choice(spark.createDataFrame(rows, "file string, component string, routed boolean, exported boolean")).collect()}

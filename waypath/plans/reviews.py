@@ -208,6 +208,43 @@ def constant_values(spark, d):
     return extract.with_constants(texts, "t", constants).select("p_partkey", "value")
 
 
+def clients_of_parts(spark, d):
+    """A client module's source for each part."""
+    k, n = F.col("p_partkey"), F.col("p_size").cast("string")
+    text = F.concat(
+        F.lit("export async function save(form, extra) {\n  // await no();\n  "), F.when(k % 2 == 0, "if (form.ok) { log(form); }\n  ").otherwise(""), F.lit("const r = await api.put(`/x/"), n, F.lit("`, { a: [1, 2] }, form.b);\n  "),
+        F.when(k % 3 == 0, "audit();\n  ").otherwise(""), F.lit("navigate(`/done/${r.id}"), n, F.lit("`);\n"), F.when(k % 5 == 0, "  if (r) { return 1; }\n  tail();\n").otherwise(""), F.lit("}\n"),
+    )
+    return table(spark, d, "part").select(k.cast("string").alias("path"), text.alias("content"))
+
+
+@query(
+    """SELECT p_partkey, 'api.put' AS callee, 3 AS arguments, TRUE AS awaited, '' AS guards, p_partkey % 5 <> 0 AS completes FROM part UNION ALL SELECT p_partkey, 'navigate', 1, FALSE, '', p_partkey % 5 <> 0 FROM part
+UNION ALL SELECT p_partkey, 'log', 1, FALSE, 'form.ok', p_partkey % 5 <> 0 FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT p_partkey, 'audit', 0, FALSE, '', p_partkey % 5 <> 0 FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT p_partkey, 'tail', 0, FALSE, '', FALSE FROM part WHERE p_partkey % 5 = 0"""
+)
+def tsx_calls(spark, d):
+    f = jsx.function_facts(clients_of_parts(spark, d))
+    return f.select(F.col("path").cast("long").alias("p_partkey"), "callee", F.size("arguments").alias("arguments"), "awaited", joined("guards", "&"), "completes")
+
+
+@query("SELECT p_partkey, 'api.put' AS after, '/done/{r.id}' || p_size AS target FROM part WHERE p_partkey % 3 <> 0")
+def tsx_continuations(spark, d):
+    return jsx.continuation_facts(clients_of_parts(spark, d)).select(F.col("path").cast("long").alias("p_partkey"), "after", "target")
+
+
+@query(
+    """WITH RECURSIVE r AS (SELECT c_custkey AS route, CASE WHEN c_custkey >= 4 THEN c_custkey // 4 END AS parent, CASE c_custkey % 5 WHEN 0 THEN NULL WHEN 1 THEN '/abs' || c_custkey ELSE 's' || c_custkey END AS path FROM customer WHERE c_custkey > 0),
+f(route, full_path) AS (SELECT route, CASE WHEN path IS NULL THEN '/' WHEN path LIKE '/%' THEN path ELSE '/' || path END FROM r WHERE parent IS NULL UNION ALL
+SELECT r.route, CASE WHEN path IS NULL THEN full_path WHEN path LIKE '/%' THEN path ELSE replace(full_path || '/' || path, '//', '/') END FROM f JOIN r ON r.parent = f.route) SELECT route, full_path FROM f"""
+)
+def nested_routes(spark, d):
+    k = F.col("c_custkey")
+    text = k.cast("string")
+    path = F.when(k % 5 == 0, F.lit(None)).when(k % 5 == 1, F.concat(F.lit("/abs"), text)).otherwise(F.concat(F.lit("s"), text))
+    routes = table(spark, d, "customer").where("c_custkey > 0").select(k.alias("route"), F.when(k >= 4, F.expr("c_custkey div 4")).alias("parent"), path.alias("path"), F.lit("C").alias("component"))
+    return extract.composed_routes(routes).select("route", F.col("full").alias("full_path"))
+
+
 def controllers_of_parts(spark, d):
     """A controller's source for each part."""
     k = F.col("p_partkey")

@@ -158,3 +158,26 @@ def with_constants(texts: DataFrame, column: str, constants: DataFrame) -> DataF
     x = texts.join(one, F.col(column) == F.col("__name"), "left")
     quoted = F.nullif(F.regexp_extract(column, r"""^(["'`])([^"'`$]*)\1$""", 2), F.lit(""))
     return x.withColumn("value", F.coalesce(quoted, "__value")).drop("__name", "__value")
+
+
+def composed_routes(routes: DataFrame, max_depth: int = 12) -> DataFrame:
+    """(route, full, component): paths of nested route elements put together; an index route has its parent's path.
+
+    routes: route, parent (null at the top), path (null for an index or a layout), component. One join a level; deeper
+    nesting, and cycles, raise an error.
+    """
+    from waypath.functions.ids import join_route
+    from waypath.operators.graph import _settled
+
+    r = _settled(routes.select("route", "parent", "path", "component"))
+    slash = lambda c: F.when(c.startswith("/"), c).otherwise(F.concat(F.lit("/"), c))
+    front = _settled(r.where("parent IS NULL").select("route", slash(F.coalesce("path", F.lit("/"))).alias("full"), "component"))
+    out = front
+    for _ in range(max_depth):
+        above = front.select(F.col("route").alias("parent"), F.col("full").alias("__above"))
+        full = F.when(F.col("path").isNull(), F.col("__above")).otherwise(join_route(F.col("__above"), F.col("path")))
+        front = _settled(r.join(above, "parent").select("route", full.alias("full"), "component"))
+        if front.isEmpty():
+            return out
+        out = out.unionByName(front)
+    raise ValueError(f"routes nested more than {max_depth} deep")

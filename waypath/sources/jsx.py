@@ -167,6 +167,95 @@ def fields(source: str) -> list[tuple]:
     return out
 
 
+# --- functions and calls --------------------------------------------------------------------------------------------
+
+_FUNCTION = re.compile(r"(?P<export>\bexport\s+(?:default\s+)?)?(?:\basync\s+)?\bfunction\s+(?P<name>[A-Za-z_$][\w$]*)\s*(?:<[^(){}]*>)?\(|(?P<export2>\bexport\s+)?\bconst\s+(?P<name2>[A-Za-z_$][\w$]*)\s*(?::[^=]+)?=\s*(?:async\s*)?(?P<open>\()")
+_CALLS = re.compile(r"(?P<await>\bawait\s+)?(?<![\w$.])(?P<callee>[A-Za-z_$][\w$]*(?:\??\.[A-Za-z_$][\w$]*)*)\s*\(")
+_NOT_CALLS = frozenset("if for while switch catch function return typeof await new super import".split())
+_ENDS = re.compile(r"\b(?:return|throw|catch|switch)\b")
+
+
+@dataclass
+class Function:
+    name: str
+    line: int
+    exported: bool
+    parameters: list[str]
+    calls: list[tuple[str, list[str], bool, list[str]]]  # callee, arguments, awaited, guards
+    completes: bool  # no return, throw, catch or switch on the way to its end
+    after: list[tuple[str, str]]  # awaited callee, target of the navigation right after it
+
+
+def functions(source: str) -> list[Function]:
+    code = masked(source)
+    ends = pairs_of(code)
+    out = []
+    for m in _FUNCTION.finditer(code):
+        opened = m.end() - 1
+        close = ends.get(opened)
+        body = re.compile(r"\s*(?::[^={]+)?(?:=>\s*)?\{").match(code, close + 1) if close is not None else None
+        if not body or (end := ends.get(body.end() - 1)) is None:
+            continue
+        start = body.end()
+        names = [n[1] for p in _parts(source[opened + 1 : close]) if (n := re.match(r"([A-Za-z_$][\w$]*)", p))]
+        calls = []
+        for c in _CALLS.finditer(code, start, end):
+            if c["callee"] in _NOT_CALLS or re.search(r"\bfunction\s*$", code[: c.start()]) or ends.get(c.end() - 1) is None:
+                continue
+            calls.append((c["callee"].replace("?.", "."), _parts(source[c.end() : ends[c.end() - 1]]), bool(c["await"]), [g for g in guards_at(source, code, ends, c.start()) if g]))
+        last = code[start:end].rstrip()
+        done = not _ENDS.search(re.sub(r"\breturn\b[^;{}]*;?$", "", last))
+        out.append(Function(m["name"] or m["name2"], source.count("\n", 0, m.start()) + 1, bool(m["export"] or m["export2"]), names, calls, done, continuations(source[start:end])))
+    return out
+
+
+def _parts(text: str) -> list[str]:
+    """Between commas outside of brackets and literals, trimmed."""
+    code, cuts, depth = masked(text), [-1], 0
+    for i, c in enumerate(code):
+        depth += (c in "([{") - (c in ")]}")
+        if c == "," and not depth:
+            cuts.append(i)
+    return [p for a, b in zip(cuts, [*cuts[1:], len(text)]) if (p := text[a + 1 : b].strip())]
+
+
+def continuations(body: str) -> list[tuple[str, str]]:
+    """(awaited callee, target): navigations to a literal or template that are the statement right after an awaited call."""
+    body = _LEXEME.sub(lambda m: re.sub(r"[^\n]", " ", m[0]) if m["comment"] is not None else m[0], body)
+    code, at, statements = masked(body), 0, []
+    depth = 0
+    for i, c in enumerate(code):
+        depth += (c in "([{") - (c in ")]}")
+        if c == ";" and not depth or c == "\n" and not depth and code[at:i].strip() and not re.match(r"\s*[.?&|=+]", code[i:]):
+            statements.append(body[at:i].strip())
+            at = i + 1
+    statements.append(body[at:].strip())
+    out = []
+    for first, then in zip(s := [x for x in statements if x], s[1:]):
+        call = re.match(r"(?s)(?:(?:const|let|var)\s+[^=]+=\s*)?await\s+([A-Za-z_$][\w$.]*)\s*\(", first)
+        go = re.match(r"""(?:router\.push|history\.push|navigate)\s*\(\s*(["'`])([^"'`]+)\1""", then)
+        if call and go:
+            out.append((call[1], re.sub(r"\$\{([^}]*)\}", r"{\1}", go[2])))
+    return out
+
+
+def client_bases(source: str) -> list[tuple[str, str]]:
+    """(client, base URL) of clients that are made with a literal base, and of the default client."""
+    made = re.findall(r"""\bconst\s+([A-Za-z_$][\w$]*)\s*=\s*axios\.create\s*\(\s*\{[^}]*?\bbaseURL\s*:\s*["'`]([^"'`$]+)["'`]""", source)
+    return made + [("axios", b) for b in re.findall(r"""\baxios\.defaults\.baseURL\s*=\s*["'`]([^"'`$]+)["'`]""", source)]
+
+
+def options(source: str) -> list[tuple[str | None, list[str]]]:
+    """(name, values) of select controls with literal options."""
+    found, out = elements(source), []
+    for e in found:
+        if e.tag == "select" and (end := source.find("</select", e.start)) > 0:
+            inner = [x for x in found if x.tag == "option" and e.start < x.start < end]
+            values = [literal(x.attributes["value"]) if x.attributes.get("value") else x.text for x in inner]
+            out.append((literal(e.attributes.get("name", "")), [v for v in values if v]))
+    return out
+
+
 # --- many files -----------------------------------------------------------------------------------------------------
 
 
@@ -189,3 +278,18 @@ def payload_facts(bodies: DataFrame, column: str) -> DataFrame:
 def child_facts(files: DataFrame) -> DataFrame:
     """path, child, guards: components that a file's elements name."""
     return P.per_row(files.select("path", "content"), ["content"], "child string, guards array<string>", lambda c: [(e.tag, e.guards) for e in elements(c or "") if e.tag[0].isupper()]).drop("content")
+
+
+def function_facts(files: DataFrame) -> DataFrame:
+    """path, name, exported, parameters, completes, callee, arguments, awaited, guards: a row a call (callee null: none)."""
+
+    def rows(content: str) -> list[tuple]:
+        return [(f.name, f.exported, f.parameters, f.completes, *c) for f in functions(content or "") for c in (f.calls or [(None, None, None, None)])]
+
+    schema = "name string, exported boolean, parameters array<string>, completes boolean, callee string, arguments array<string>, awaited boolean, guards array<string>"
+    return P.per_row(files.select("path", "content"), ["content"], schema, rows).drop("content")
+
+
+def continuation_facts(files: DataFrame) -> DataFrame:
+    """path, name, after, target: navigations that directly follow an awaited call."""
+    return P.per_row(files.select("path", "content"), ["content"], "name string, after string, target string", lambda c: [(f.name, *x) for f in functions(c or "") for x in f.after]).drop("content")
