@@ -561,7 +561,10 @@ def entry_roots(spark, d):
     return graph.roots(e.select("family", F.col("src").alias("node")).distinct(), e).select("node")
 
 
-@query()
+@query(
+    f"""WITH v AS ({VARIANTS}) SELECT family, signature AS scenario, CAST(i AS INTEGER) AS line_no, CASE i WHEN 0 THEN '@variant-' || substr(signature, 1, 12) WHEN 1 THEN 'Scenario: ' || representative WHEN 2 THEN '  Given ' || members || ' equal sessions'
+WHEN 3 THEN '  When ' || steps || ' steps are taken' ELSE '  Then the outcome is the recorded one' END AS line FROM v, range(5) t(i)"""
+)
 def bdd_lines(spark, d):
     from waypath.sources.features import feature_lines
 
