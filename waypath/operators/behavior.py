@@ -278,6 +278,7 @@ def edge_slices(witnesses_: DataFrame) -> DataFrame:
 
 # --- variants -------------------------------------------------------------------------------------------------------
 
+# Paths that tell of the signed-in person, and those that only tell whether there is one.
 ACTOR_PATH = r"(?i)^(?:user|actor|principal|currentUser|session)(?:\.|$)"
 ACTOR_PRESENCE = r"(?i)^(?:user|actor|principal|currentUser|session)(?:\.authenticated)?$"
 
@@ -404,6 +405,7 @@ def behavior_variants(witnesses_: DataFrame, nodes: DataFrame, edges: DataFrame,
 
 # --- coverage -------------------------------------------------------------------------------------------------------
 
+# The stages in the order in which an operation reaches them.
 STAGES = ("frontend-client-join", "action-operation-join", "success-continuation", "flow-family", "entry-success-witness", "behavior-variant")
 
 
@@ -443,6 +445,7 @@ def coverage_totals(tables: dict[str, DataFrame]) -> DataFrame:
     tables: any of facts, actions, operations, effects, pages, actors, nodes, edges, families, witnesses, states,
     variants, requirements, bindings, contracts, coverage.
     """
+    # fixed values: the names of the counts
     every = {
         "facts": {"evidenceNodes": None}, "actions": {"sourceDeclaredActions": None, "handlerResolvedActions": "handler IS NOT NULL"}, "operations": {"terminalOperations": "inclusion <> 'excluded'"},
         "effects": {"unresolvedTerminalEffects": "kind = 'unknown-mutation'"}, "pages": {"pageContracts": None}, "actors": {"actorRequirements": None}, "nodes": {"behaviorNodes": None}, "edges": {"behaviorEdges": None},

@@ -15,7 +15,7 @@ from waypath.functions.constraints import check_value
 from waypath.functions.ids import capitalised, leaf_name, normal_template, slug, stable_id
 from waypath.operators.contracts import alias_join
 
-#: Verbs that name a command, where a handler's name begins with one.
+# Verbs that name a command, where a handler's name begins with one.
 VERBS = "create|submit|open|approve|reject|update|delete|cancel|place|send|activate|deactivate"
 
 
@@ -200,6 +200,27 @@ def _each(*keys: str):
     return Window.partitionBy(*keys)
 
 
+def bound_constraints(contracts: DataFrame, validations: DataFrame) -> DataFrame:
+    """(contract, endpoint, field, constraint): the validations that a contract's fields have to meet.
+
+    contracts: contract, endpoint, status, bindings ('name=field'). validations: endpoint, validation, path. Names are
+    leaf names in any case; contracts that miss required fields or give invalid ones bind nothing.
+    """
+    c = contracts.where("NOT status IN ('required-fields-missing', 'required-fields-invalid')").select("contract", "endpoint", F.explode("bindings").alias("b"))
+    c = c.select("contract", "endpoint", F.lower(F.substring_index("b", "=", 1)).alias("leaf"), F.substring_index("b", "=", -1).alias("field"))
+    v = validations.select("endpoint", F.lower(leaf_name(F.col("path"))).alias("leaf"), F.col("validation").alias("constraint"))
+    return c.join(v, ["endpoint", "leaf"]).select("contract", "endpoint", "field", "constraint").distinct()
+
+
+def deduplicated(rows: DataFrame, keys: Sequence[str], smallest: str) -> DataFrame:
+    """rows without those that are alike in `keys` (arrays, maps and structs by their JSON), but for the one of the
+    smallest `smallest`."""
+    alike = F.sha2(F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}), 256)
+    rest = [c for c in rows.columns if c != smallest]
+    g = rows.withColumn("__alike", alike).groupBy("__alike").agg(F.min_by(F.struct(*rest), smallest).alias("r"), F.min(smallest).alias(smallest))
+    return g.select(smallest, "r.*").select(rows.columns)
+
+
 def receiver_types(calls: DataFrame, declared: DataFrame) -> DataFrame:
     """calls (call, receiver_type, method, arity) with the only file that declares the method for the type or for one type
     that implements it; match: unique, missing or ambiguous. declared: file, type, implements (array), method, arity."""

@@ -136,6 +136,35 @@ def manifest_steps(paths: DataFrame, fields: DataFrame, sessions: DataFrame, val
     return x.select("run", number.cast("long").alias("sequence"), "kind", "screen", "target", "phase", "binding_digest", F.coalesce("adapters", F.array().cast("array<string>")).alias("adapters"), issue.alias("issue"))
 
 
+def recorded(steps: DataFrame, observations: DataFrame) -> DataFrame:
+    """run, sequence, issue: what a run saw against what its manifest asks for, position by position; issue null: accepted.
+
+    steps: run, sequence, kind, target, expected_next, adapters. observations: run, sequence, kind, target, next, adapter,
+    found (how many elements), actionable. The first rule that is broken: missing, unexpected, another target, an adapter
+    that is not permitted, no or several elements, one that can't be acted on, another next screen.
+    """
+    o = observations.select("run", "sequence", F.col("kind").alias("o_kind"), F.col("target").alias("o_target"), "next", "adapter", "found", "actionable", F.lit(True).alias("seen"))
+    x = steps.withColumn("asked", F.lit(True)).join(o, ["run", "sequence"], "full")
+    session, screen = F.col("kind") == "actor-session", F.col("kind") == "screen-state"
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    issue = (
+        F.when(F.col("seen").isNull(), "missing").when(F.col("asked").isNull(), "unexpected").when(~(F.col("kind").eqNullSafe(F.col("o_kind")) & F.col("target").eqNullSafe(F.col("o_target"))), "another-target")
+        .when(~yes(F.array_contains("adapters", F.col("adapter"))), "adapter-not-permitted").when(~session & ~yes(F.col("found") == 1), "not-unique")
+        .when(~session & ~screen & ~yes(F.col("actionable")), "not-actionable").when(F.col("expected_next").isNotNull() & ~F.col("expected_next").eqNullSafe(F.col("next")), "another-screen")
+    )
+    return x.select("run", "sequence", issue.alias("issue"))
+
+
+def run_bindings(bindings: DataFrame, steps: DataFrame, observations: DataFrame) -> DataFrame:
+    """bindings (run, sequence, adapter) with those of runs all of whose observations are accepted, new ones winning."""
+    from waypath.operators.joins import merged
+
+    judged = recorded(steps, observations)
+    failed = judged.where("issue IS NOT NULL").select("run").distinct()
+    new = observations.join(failed, "run", "left_anti").select("run", "sequence", "adapter")
+    return merged(bindings.select("run", "sequence", "adapter"), new, ["run", "sequence"])
+
+
 MANIFEST_GATES = ("content", "environment", "configuration", "adapters", "expired", "lineage", "variant", "review-required", "witness", "data", "steps")
 
 

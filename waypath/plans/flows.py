@@ -480,3 +480,41 @@ def delegated_methods(spark, d):
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("node"))
     edges = c.where("node > 1").select(F.col("node").alias("src"), F.expr("node div 2").alias("dst"))
     return java.delegated(c, edges)
+
+
+# --- observations and constraints -----------------------------------------------------------------------------------
+
+
+@query(
+    """WITH s AS (SELECT conv_id, turn, role FROM conversations WHERE turn < 4), o AS (SELECT conv_id, turn, CASE WHEN turn = 2 AND conv_id % 5 = 0 THEN 'other' ELSE role END AS role, CASE WHEN conv_id % 3 = 0 THEN 'cli' ELSE 'web' END AS adapter, conv_id % 7 AS found, conv_id % 2 = 0 AS actionable FROM conversations WHERE NOT (turn = 1 AND conv_id % 4 = 0)),
+x AS (SELECT coalesce(s.conv_id, o.conv_id) AS conv_id, CASE WHEN o.conv_id IS NULL THEN 'missing' WHEN s.conv_id IS NULL THEN 'unexpected' WHEN s.role <> o.role THEN 'another-target' WHEN adapter <> 'web' THEN 'adapter-not-permitted' WHEN found <> 1 THEN 'not-unique' WHEN s.turn % 2 = 1 AND NOT actionable THEN 'not-actionable' END AS issue FROM s FULL JOIN o ON s.conv_id = o.conv_id AND s.turn = o.turn)
+SELECT issue, count(*) AS n FROM x GROUP BY issue"""
+)
+def recorded_observations(spark, d):
+    c = table(spark, d, "conversations")
+    run, pos, k = F.col("conv_id").alias("run"), F.col("turn").alias("sequence"), F.col("conv_id")
+    kind = F.when(F.col("turn") % 2 == 0, "screen-state").otherwise("action").alias("kind")
+    steps = c.where("turn < 4").select(run, pos, kind, F.col("role").alias("target"), F.lit(None).cast("string").alias("expected_next"), F.array(F.lit("web")).alias("adapters"))
+    target = F.when((F.col("turn") == 2) & (k % 5 == 0), "other").otherwise(F.col("role"))
+    seen = c.where(~((F.col("turn") == 1) & (k % 4 == 0))).select(run, pos, kind, target.alias("target"), F.lit(None).cast("string").alias("next"), F.when(k % 3 == 0, "cli").otherwise("web").alias("adapter"), (k % 7).alias("found"), (k % 2 == 0).alias("actionable"))
+    return coverage.count_by(lifecycle.recorded(steps, seen), "issue")
+
+
+@query(
+    """WITH c AS (SELECT o_orderkey, o_orderpriority, l_returnflag AS name, 'f' || l_suppkey % 5 AS field FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'P'), v(endpoint, leaf, k) AS (VALUES ('1-URGENT', 'a', 'v1'), ('1-URGENT', 'n', 'v2'), ('2-HIGH', 'n', 'v3'))
+SELECT o_orderkey, field, string_agg(DISTINCT k, ',' ORDER BY k) AS constraints FROM c JOIN v ON endpoint = o_orderpriority AND leaf = lower(name) GROUP BY ALL"""
+)
+def bound_constraints(spark, d):
+    pair = F.concat_ws("=", "l_returnflag", F.concat(F.lit("f"), (F.col("l_suppkey") % 5).cast("string")))
+    b = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("contract")).agg(F.collect_set(pair).alias("bindings"))
+    status = F.when(F.col("o_orderstatus") == "P", "required-fields-missing").otherwise("review-required")
+    contracts = table(spark, d, "orders").select(F.col("o_orderkey").alias("contract"), F.col("o_orderpriority").alias("endpoint"), status.alias("status")).join(b, "contract")
+    rules = spark.createDataFrame([("1-URGENT", "v1", "Body.A"), ("1-URGENT", "v2", "N"), ("2-HIGH", "v3", "x.y.n")], "endpoint string, validation string, path string")
+    g = catalog.bound_constraints(contracts, rules).groupBy(F.col("contract").alias("o_orderkey"), "field")
+    return g.agg(F.array_join(F.array_sort(F.collect_set("constraint")), ",").alias("constraints"))
+
+
+@query("SELECT min(o_orderkey) AS o_orderkey, o_custkey, o_orderstatus FROM orders GROUP BY o_custkey, o_orderstatus")
+def deduplicated_contracts(spark, d):
+    x = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", F.array("o_orderstatus").alias("fields"))
+    return catalog.deduplicated(x, ["o_custkey", "fields"], "o_orderkey").drop("fields")

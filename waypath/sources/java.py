@@ -180,6 +180,7 @@ GUARD_FORMS = (
 )
 #: Names of the request; what follows them are its fields.
 ROOTS = ("request", "dto", "command", "input")
+# What is left of a body that keeps its success from being known: control flow, and calls that sound like rules.
 _CONTROL = re.compile(r"\b(?:if|switch|try|catch|for|while|do|throw|assert)\b|\?|\.orElseThrow\s*\(")
 _RULE = re.compile(r"\b(?:validate|verify|check|require|ensure|eligible|authorize|allowed|permitted|exists|ownership|relationship)[\w$]*\s*\(", re.I)
 
