@@ -49,10 +49,10 @@ def _edge(df: DataFrame, src: str, dst: Column, guards: Column, outcome: str = "
 
 
 def target_pages(navigations: DataFrame, pages: DataFrame) -> DataFrame:
-    """(navigation, page): pages of the first route that a navigation's target matches. pages: page, routes."""
+    """(navigation, page): pages of the first route, by page and place, that a navigation's target matches. pages: page, routes."""
     routes = pages.select("page", F.posexplode("routes").alias("pos", "route"))
     normal = routes.withColumn("matched", _normal("route"))
-    found = template_join(navigations.select("navigation", "target"), routes.select("route", F.xxhash64("page", "pos").alias("n")), "target", "route", "n")
+    found = template_join(navigations.select("navigation", "target"), routes.select("route", F.concat_ws(":", "page", F.lpad(F.col("pos").cast("string"), 6, "0")).alias("n")), "target", "route", "n")
     return found.where("matched IS NOT NULL").join(normal.select("page", "matched").distinct(), "matched").select("navigation", "page").distinct()
 
 
