@@ -194,3 +194,15 @@ def manifest_gate(checks: Sequence[tuple[str, Column]]) -> Column:
     for issue, holds in reversed(checks):
         out = F.when(F.coalesce(holds, F.lit(False)), out).otherwise(F.lit(issue))
     return out
+
+
+def explained(asked: DataFrame, items: DataFrame, links: DataFrame) -> DataFrame:
+    """kind, id, known, label, cites, cited_by: what there is to say about each item asked for.
+
+    asked: kind, id. items: kind, id, label. links: src, dst (ids: src cites dst). Lists are sorted; an unknown item has none.
+    """
+    a = asked.select("kind", "id").distinct().join(items.select("kind", "id", "label", F.lit(True).alias("known")), ["kind", "id"], "left")
+    near = lambda at, other, name: links.groupBy(F.col(at).alias("id")).agg(F.array_sort(F.collect_set(other)).alias(name))
+    x = a.join(near("src", "dst", "cites"), "id", "left").join(near("dst", "src", "cited_by"), "id", "left")
+    known = F.coalesce("known", F.lit(False))
+    return x.select("kind", "id", known.alias("known"), "label", *[F.when(known, F.col(c)).alias(c) for c in ("cites", "cited_by")])

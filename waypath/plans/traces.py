@@ -196,3 +196,17 @@ UNION ALL SELECT 'documents', 'source', source, count(*) FROM documents GROUP BY
 def graph_summary(spark, d):
     t = lambda n: table(spark, d, n)
     return traces.summary(events=(t("events"), ["event_type"]), documents=(t("documents"), ["lang", "source"]), orders=(t("orders"), ["o_orderstatus"]))
+
+
+@query(
+    """WITH i AS (SELECT 'customer' AS kind, c_custkey AS id, c_name AS label FROM customer WHERE c_acctbal > 0), l AS (SELECT c_custkey AS src, c_custkey // 5 AS dst FROM customer)
+SELECT a.kind, a.id, i.id IS NOT NULL AS known, label, CASE WHEN i.id IS NOT NULL THEN (SELECT string_agg(dst, ',' ORDER BY dst) FROM l WHERE src = a.id) END AS cites, CASE WHEN i.id IS NOT NULL THEN (SELECT string_agg(src, ',' ORDER BY src) FROM l WHERE dst = a.id) END AS cited_by
+FROM (SELECT DISTINCT CASE WHEN o_orderkey % 3 = 0 THEN 'page' ELSE 'customer' END AS kind, o_custkey AS id FROM orders) a LEFT JOIN i ON i.kind = a.kind AND i.id = a.id"""
+)
+def explained_items(spark, d):
+    asked = table(spark, d, "orders").select(F.when(F.col("o_orderkey") % 3 == 0, "page").otherwise("customer").alias("kind"), F.col("o_custkey").alias("id"))
+    c = table(spark, d, "customer")
+    items = c.where("c_acctbal > 0").select(F.lit("customer").alias("kind"), F.col("c_custkey").alias("id"), F.col("c_name").alias("label"))
+    out = traces.explained(asked, items, c.select(F.col("c_custkey").alias("src"), F.expr("c_custkey div 5").alias("dst")))
+    listed = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
+    return out.select("kind", "id", "known", "label", listed("cites"), listed("cited_by"))
