@@ -226,6 +226,19 @@ def _least_of_part(data: np.ndarray, begin: np.ndarray, count: np.ndarray, doc:
 # --- shards of documents -------------------------------------------------------------------------------------------
 
 
+def sorted_by(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that brings equal pairs together, and where each of them begins in it. The second keys are looked at only
+    where first ones are equal: as these are hashes, they hardly ever differ there."""
+    order = np.argsort(first)
+    a, b = first[order], second[order]
+    same = a[1:] == a[:-1]
+    if (same & (b[1:] != b[:-1])).any():
+        order = np.lexsort((second, first))
+        a, b = first[order], second[order]
+        same = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
+    return order, np.flatnonzero(np.concatenate(([True], ~same))) if len(order) else np.zeros(0, np.int64)
+
+
 class Entries:
     """Pieces of a shard's text that may repeat elsewhere, equal ones grouped: runs, or windows of runs that very many
     shards hold. A group is dealt by its run's gram, a single window by its content."""
@@ -248,12 +261,11 @@ class Entries:
         if single.any():
             at = self.start[single]
             second[single] = string_hashes(_SECOND_VALUES[shard.data], at, at + window, 2)
-        order = np.lexsort((self.doc, second, content))
-        c, c2 = content[order], second[order]
-        edge = np.flatnonzero(np.concatenate(([True], (c[1:] != c[:-1]) | (c2[1:] != c2[:-1])))) if len(c) else np.zeros(0, np.int64)
-        self.group = np.empty(len(c), np.int64)
-        self.group[order] = np.repeat(np.arange(len(edge)), np.diff(np.append(edge, len(c))))
-        self.first = order[edge]  # of each group, an entry of its smallest document
+        order, edge = sorted_by(content, second)
+        self.group = np.empty(len(order), np.int64)
+        self.group[order] = np.repeat(np.arange(len(edge)), np.diff(np.append(edge, len(order))))
+        # of each group, the entry of its smallest document: entries are in the order of documents
+        self.first = np.minimum.reduceat(order, edge) if len(edge) else edge
         key = bucketed(route[self.first], buckets)
         self.bucket = (key >> np.uint64(LOW)).astype(np.int64)
         self.order = np.argsort(self.bucket, kind="stable")  # of groups, as they are sent
@@ -324,13 +336,12 @@ def compare_contents(table: pa.Table) -> pa.Table:
     gram = np.concatenate([low_numbers(r, n, 4) for r, n in zip(raw, sizes)])
     content = np.concatenate([low_numbers(r, n, 4 + width * n) for r, n in zip(raw, sizes)])
     doc = np.concatenate([np.frombuffer(r, "<i8", n, 4 + 2 * width * n) for r, n in zip(raw, sizes)])
-    order = np.lexsort((doc, content, gram))
-    g, c = gram[order], content[order]
+    order, edge = sorted_by(gram << np.uint64(24) | content >> np.uint64(16), content)
+    g = gram[order]
     new_gram = np.concatenate(([True], g[1:] != g[:-1]))
-    new = new_gram.copy()
-    new[1:] |= c[1:] != c[:-1]
-    edge = np.flatnonzero(new)
-    least = np.repeat(doc[order][edge], np.diff(np.append(edge, len(order))))
+    new = np.zeros(len(order), bool)
+    new[edge] = True
+    least = np.repeat(np.minimum.reduceat(doc[order], edge), np.diff(np.append(edge, len(order))))
     several = np.add.reduceat(new.astype(np.int64), np.flatnonzero(new_gram)) > 1
     later, open_ = np.empty(len(order), bool), np.empty(len(order), bool)
     later[order] = doc[order] > least
