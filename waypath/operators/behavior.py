@@ -9,6 +9,7 @@ depth bound, so a row stays small. All families are searched at once, one join a
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -290,6 +291,14 @@ def input_screens(witnesses_: DataFrame, nodes: DataFrame) -> DataFrame:
     return of.where("kind = 'screen'").join(last, "witness").where("pos <= last").select("witness", F.col("node").alias("page")).distinct()
 
 
+@lru_cache(10_000)
+def _field_states(condition: str, visible: tuple[str, ...], needed: tuple[str, ...]) -> list[tuple]:
+    """Visibility and need of a field under a condition, none if it is hidden. Many rows share both, so answers are kept."""
+    base = P.parse(condition)
+    seen = P.status_of(P.all_of([base, *map(P.parse, visible)]))
+    return [] if seen == P.STATUSES[2] else [(seen, P.status_of(P.all_of([base, *map(P.parse, needed)])) if needed else None)]
+
+
 def active_fields(witnesses_: DataFrame, nodes: DataFrame, fields: DataFrame, constraints: DataFrame) -> DataFrame:
     """witness, page, field, path, control, mode, visibility, required, constraint_status, rules: the fields of a path's
     input screens that its condition does not hide.
@@ -301,9 +310,7 @@ def active_fields(witnesses_: DataFrame, nodes: DataFrame, fields: DataFrame, co
     shown = input_screens(witnesses_, nodes).join(fields, "page").join(witnesses_.select("witness", "condition"), "witness")
 
     def states(condition: str, visible: list[str] | None, needed: list[str] | None) -> list[tuple]:
-        base = P.parse(condition if condition != "always" else "true")
-        seen = P.status_of(P.all_of([base, *map(P.parse, visible or [])]))
-        return [] if seen == P.STATUSES[2] else [(seen, P.status_of(P.all_of([base, *map(P.parse, needed)])) if needed else None)]
+        return _field_states(condition, tuple(visible or ()), tuple(needed or ()))
 
     shown = P.per_row(shown.withColumn("__c", _as_guard("condition")), ["__c", "visible_when", "required_when"], "visibility string, guarded string", states)
     listed = constraints.groupBy("witness", "field").agg(
