@@ -254,6 +254,36 @@ def test_similar_groups_of_a_crowd(spark):
     assert {r.doc_id: r.kept for r in simhash.similar_groups(d, block=8).collect()} == want
 
 
+def test_near_copies_by_fingerprint_and_similarity(spark):
+    """Documents that op3 links leave the pipeline, and so do similar ones that fingerprints miss."""
+    rng = random.Random(17)
+    out = [(1000, ""), (1001, None)]
+    for k in range(12):
+        cycle = sentence(rng, 41, 5000).split() * 10
+        b = sentence(rng, 150, 5000).split()
+        out += [(10 * k + j, " ".join(w)) for j, w in enumerate([cycle, [*cycle, *sentence(rng, 25, 5000).split()], b, b[:130], sentence(rng, 30, 5000).split()])]
+    texts, root, only = {i: t or "" for i, t in out}, {i: i for i, _ in out}, collections.Counter()
+    prints, sets = {i: simhash.fingerprint(t) for i, t in texts.items()}, {i: shingle_set(t) for i, t in texts.items()}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in texts:
+        for j in texts:
+            close, alike = (prints[i] ^ prints[j]).bit_count() <= 2, len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+            if i < j and (close or alike):
+                only[close, alike] += 1
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    want = {i: find(i) for i in texts}
+    assert only[True, False] >= 3 and only[False, True] >= 3
+    d = spark.createDataFrame(out, "doc_id long, text string").repartition(3)
+    assert {r.doc_id for r in simhash.keep_one(d).collect()} == {i for i in want if want[i] == i}
+    assert {r.doc_id: r.kept for r in simhash.similar_groups(d, max_bits=2, crowd=1).collect()} == want
+
+
 @pytest.mark.parametrize("settings", [{}, {"shard_bytes": 2000}])
 def test_repeated_words(docs, rows, none, settings):
     split = [(i, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t, *_ in rows]

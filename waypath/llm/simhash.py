@@ -240,9 +240,21 @@ def _shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
     return np.unique(x)
 
 
-def _classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, cls): a hash of the normalised text."""
-    return map_texts(docs, "text", [T.StructField("cls", T.LongType())], lambda: lambda texts: [[_normal(t)[0] for t in texts]], ["doc_id"])
+def _classes(docs: DataFrame, fingerprinted: bool) -> DataFrame:
+    """(doc_id, cls, fp): a hash of the normalised text, and its fingerprint (null, if not fingerprinted)."""
+    print_of = lambda t: (v := fingerprint(t)) - ((v >> 63) << 64) if fingerprinted else None
+    make = lambda: lambda texts: [[_normal(t)[0] for t in texts], [print_of(t) for t in texts]]
+    return map_texts(docs, "text", [T.StructField("cls", T.LongType()), T.StructField("fp", T.LongType())], make, ["doc_id"])
+
+
+def fingerprint_links(classes: DataFrame, max_bits: int = MAX_BITS, crowd: int = CROWD) -> DataFrame:
+    """classes: (cls, fp). Links (a, b) of classes that have the components of all pairs of fingerprints within max_bits bits."""
+    heads = checkpoint(classes.groupBy("fp").agg(F.min("cls").alias("head")))
+    equal = classes.join(heads, "fp").where("cls <> head").select(F.col("cls").alias("a"), F.col("head").alias("b"))
+    near = links_of(heads.select("fp"), max_bits, crowd)
+    for end in ("a", "b"):
+        near = near.join(heads.select(F.col("fp").alias(end), F.col("head").alias(f"{end}_head")), end)
+    return checkpoint(equal.unionByName(near.select(F.col("a_head").alias("a"), F.col("b_head").alias("b"))))
 
 
 class _Shingles:
@@ -408,12 +420,13 @@ def _all_pairs(lists: DataFrame, similarity: float, block: int) -> DataFrame:
 
 def similar_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY,
-    shard_bytes: int = SIMILAR_SHARD_BYTES, common: int = COMMON, block: int = BLOCK,
+    shard_bytes: int = SIMILAR_SHARD_BYTES, common: int = COMMON, block: int = BLOCK, max_bits: int | None = None, crowd: int = CROWD,
 ) -> DataFrame:
     """(doc_id, kept): kept is the smallest doc_id of the document's group of near copies.
 
-    Equal texts (up to case and white space) are one class. Classes whose sets of `shingle`-word shingles are of the
-    similarity or more link, and links merge into groups. All such pairs meet (prefix filtering): with the shingles of
+    Equal texts (up to case and white space) are one class. With max_bits, classes whose fingerprints differ in so many
+    bits or fewer link first, as in near_classes, by deletion variants. Classes whose sets of `shingle`-word shingles are of the
+    similarity or more link too, and links merge into groups. All such pairs meet (prefix filtering): with the shingles of
     every text in one order, shingles of a single text first, the first one that two such texts share is among the first
     `size - least + 1` of both, where least is what a text shares at least. So each class is listed under those of its
     first shingles that others have, and the texts of one list are compared: first with the list's head (the text with the
@@ -421,8 +434,9 @@ def similar_groups(
     components, block by block.
     """
     d = docs.select(ordered_id(F.col(f"`{id_col}`")).alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    marked = checkpoint(_classes(d))
+    marked = checkpoint(_classes(d, max_bits is not None))
     classes = marked.groupBy("cls").agg(F.min("doc_id").alias("first"))
+    links = None if max_bits is None else fingerprint_links(marked.select("cls", "fp").distinct(), max_bits, crowd)
     sharded, buckets = shard_documents(filter_by_ids(d, F.col("doc_id"), classes.select("first").distinct(), "left_semi"), "doc_id", "text", shard_bytes)
     by_shard = sharded.groupBy("shard")
 
@@ -437,8 +451,9 @@ def similar_groups(
     found = by_shard.cogroup(known.groupBy("shard")).applyInArrow(send_prefixes, "cls long, n long, alone long, tokens array<long>, shingles binary, outline binary, " + ", ".join(f"{c} long" for c in PARITY))
     sets = checkpoint(found)
     listed = sets.select("cls", "n", "alone", *PARITY, F.posexplode("tokens").alias("at", "token")).select("token", "cls", "n", "alone", (F.col("alone") + F.col("at")).alias("at"), *PARITY)
-    lists = checkpoint(_with_heads(listed, None, F.struct("alone", "cls")))
-    links = _verified_pairs(_to_heads(lists, similarity), sets, similarity)
+    lists = checkpoint(_with_heads(listed, links, F.struct("alone", "cls")))
+    similar = _verified_pairs(_to_heads(lists, similarity), sets, similarity)
+    links = similar if links is None else links.unionByName(similar)
     lists = checkpoint(_with_heads(lists.drop("root", "head", "m"), links, F.xxhash64("token", "cls")))
     links = checkpoint(links.unionByName(_verified_pairs(_to_heads(lists, similarity), sets, similarity)))
     lists = _with_heads(lists.drop("root", "head", "m"), links, F.col("cls"))
@@ -449,11 +464,14 @@ def similar_groups(
     return marked.join(of_class, "cls").select("doc_id", "kept")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+def keep_one(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY, max_bits: int = MAX_BITS
+) -> DataFrame:
     """The documents, with their columns, without those that have a near copy of a smaller id in their group.
 
+    Near copies are documents whose fingerprints near_classes links, and those of the similarity, which fingerprints can miss.
     Of a null or repeated id, rows stay or go together.
     """
     own = ordered_id(F.col(f"`{id_col}`"))
-    gone = similar_groups(docs, id_col, text_col, shingle, similarity).where("kept <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
+    gone = similar_groups(docs, id_col, text_col, shingle, similarity, max_bits=max_bits).where("kept <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
     return filter_by_ids(docs, own, gone, "left_anti")
